@@ -36,6 +36,24 @@ FROM queue
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_digest
+
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import spotsigs_digest
+
+    return spotsigs_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_digest
+
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,5 +86,5 @@ SELECT c.page_id, c.host, c.path, f.rule,
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND c.host = f.host AND c.path = f.path AND f.k = 1
 """
 
-QUERIES = {"op1_mix": op1_mix, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules}
+QUERIES = {"op1_mix": op1_mix, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules}
 SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL}
