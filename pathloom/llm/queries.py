@@ -36,6 +36,12 @@ FROM queue
 """
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_digest
 
@@ -86,5 +92,11 @@ SELECT c.page_id, c.host, c.path, f.rule,
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND c.host = f.host AND c.path = f.path AND f.k = 1
 """
 
-QUERIES = {"op1_mix": op1_mix, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
 SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL}
