@@ -41,7 +41,7 @@ def unit(rows: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, shared: int = 2, pivots_most: int = 4096, pivots: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, shared: int = 3, pivots_most: int = 4096, pivots: int | None = None) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     small_batches(spark, 5000)

@@ -54,6 +54,12 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import linked
+
+    return linked(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_digest
 
@@ -98,5 +104,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
+QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op5_ngram_join": op5_ngram_join, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
 SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL}
