@@ -112,3 +112,38 @@ def steps(sizes, limit: int = STEP_BYTES):
         total += n
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+class Forest:
+    """Spanning forest of links among n members that come in batches."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.root, self.edges = np.arange(n), []
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def add(self, i, j) -> None:
+        """Links i[k] - j[k]. Most join what is joined already and fall out by array operations."""
+        import numpy as np
+
+        while len(i):
+            for ends in (j, i):
+                _, first = np.unique(ends, return_index=True)
+                for u, v in zip(i[first].tolist(), j[first].tolist()):
+                    ru, rv = self.find(u), self.find(v)
+                    if ru != rv:
+                        self.root[max(ru, rv)] = min(ru, rv)
+                        self.edges.append((u, v))
+            flat = self.root
+            while not np.array_equal(flat, flat[flat]):
+                flat = flat[flat]
+            self.root = flat.copy()
+            apart = flat[i] != flat[j]
+            i, j = i[apart], j[apart]

@@ -10,9 +10,11 @@ with nothing; the others drop the r - 1 most frequent ones, which leaves every l
 and empties out passages that many documents share.
 
 Links. In each list the first class is paired with all others, and pairs within the length bound are verified:
-each fragment counts the partial overlap of its pairs, and the sums decide. Only pairs between different
-components so found are then paired in full and verified alike, so large groups never meet all against all, and
-no link between components is lost.
+each fragment counts the partial overlap of its pairs, and the sums decide. Of lists of up to LONG classes, all
+pairs between different components so found are then verified alike. Longer lists are joined to clusters, a
+cluster is cut into chunks, and each pair of chunks is a task that counts the partial overlaps of all its pairs
+at once, fragment by fragment, and gives a spanning forest of the links; so neither the pairs of a large group
+are listed nor a link between components lost.
 
 Null, empty and blank texts have the empty set and link with nothing. Rows that share an id are one document.
 An empty table gives no row. Columns besides doc_id and text are not read.
@@ -27,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, word_hashes
-from .common import components, cut, free, partitions, size_class, small_batches
+from .common import Forest, components, cut, free, partitions, size_class, small_batches
 
 FACTORS = np.random.default_rng(31).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Share of a set by which prefixes are longer than one common n-gram asks for.
 SLACK = 0.07
 CHUNK = 400_000
 PAIRS_A_GROUP = 400_000
+#: Classes of a list beyond which its pairs are not listed.
+LONG = 200
+#: Classes of a chunk of a cluster of long lists.
+BLOCK = 1000
 
 
 def ngram_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -227,6 +233,50 @@ def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds, fragments: i
     return both.where(F.col("both") * bounds.den >= F.lit(bounds.num) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def block_links(members: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links (a, b), a spanning forest of each task's, among classes (cls, n) of the same cluster."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "n")
+
+    def block(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        names, first, owner = np.unique(t.column("cls").to_numpy(), return_index=True, return_inverse=True)
+        n, side = t.column("n").to_numpy()[first], t.column("chunk").to_numpy()[first]
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        part = t.column("f").to_numpy()
+        raw = t.column("grams")
+        both = np.zeros((len(left), len(right)), np.float32)
+        for f in np.unique(part).tolist():  # partial overlaps of a fragment
+            rows = np.flatnonzero(part == f)
+            _, once = np.unique(owner[rows], return_index=True)
+            rows = rows[once]
+            sets = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows.tolist()]
+            who = np.repeat(owner[rows], [len(s) for s in sets])
+            grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.cumsum(count > 1) - 1
+            keep = count[column] > 1
+            who, column = who[keep], shared[column[keep]]
+            order = np.argsort(column, kind="stable")
+            who, column = who[order], column[order]
+            for lo in range(0, int((count > 1).sum()), 4096):
+                s = slice(*np.searchsorted(column, [lo, lo + 4096]))
+                held = np.zeros((len(names), 4096), np.float32)
+                held[who[s], column[s] - lo] = 1
+                both += held[left] @ held[right].T
+        forest = Forest(len(names))
+        hit = both * bounds.den >= bounds.num * (n[left][:, None] + n[right][None, :] - both)
+        if i == j:
+            hit &= left[:, None] < right[None, :]
+        u, v = np.nonzero(hit)
+        forest.add(left[u], right[v])
+        u, v = (np.array(z, np.int64) for z in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
+        return pa.Table.from_arrays([pa.array(names[u]), pa.array(names[v])], ["a", "b"])
+
+    return placed.join(segments, "cls").groupBy("cluster", "i", "j").applyInArrow(block, "a long, b long")
+
+
 def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per row: documents link when den * intersection >= num * union."""
     spark = docs.sparkSession
@@ -261,12 +311,17 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.join(chosen.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     segments = cut(texts.mapInArrow(cut_up, "cls long, f int, grams binary"))
     free(spark)
-    links = cut(verified(stars, segments, bounds, fragments))
+    links = verified(stars, segments, bounds, fragments)
+    long = posts.join(heads.where(F.col("size") > LONG), "h").select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    if not long.isEmpty():
+        members = components(long, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(chosen.select("cls", "n"), "cls")
+        links = links.unionByName(block_links(members, segments, bounds))
+    links = cut(links)
     free(spark)
     first = components(links, "a", "b")
     labelled = posts.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    open_lists = cut(labelled.join(mixed, "h").select("h", "cls", "n", "label"))
+    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(F.col("size") <= LONG).where("lo <> hi").select("h")
+    open_lists = cut(labelled.join(mixed, "h", "left_semi").select("h", "cls", "n", "label"))
     a = open_lists.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     b = open_lists.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = a.join(b, "h").where("a < b and la <> lb").where(inside).select("a", "na", "b", "nb").distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, free, small_batches
+from .common import Forest, components, cut, free, small_batches
 
 CHUNK = 2000
 
@@ -90,15 +90,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, s
             lower = np.where(np.arange(len(p)) < pivot, held, 0)  # what they share before this list
             left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
             links = np.zeros(len(rep), np.int64)
-            root = np.arange(len(rep))
-
-            def find(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            forest = []
+            forest = Forest(len(rep))
             for lo in range(0, len(left), 500):
                 i_of = left[lo : lo + 500]
                 cand = (held[i_of] @ held[right].T >= shared) & (lower[i_of] @ lower[right].T == 0)
@@ -111,19 +103,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, s
                     hit[s] = np.einsum("ij,ij->i", x[i_of[i[s]]], x[right[j[s]]]) >= threshold
                 i, j = i_of[i[hit]], right[j[hit]]
                 links += np.bincount(i, n[j], len(rep)).astype(np.int64) + np.bincount(j, n[i], len(rep)).astype(np.int64)
-                # most links join what is joined already
-                while len(i):
-                    _, first = np.unique(j, return_index=True)
-                    for u, v in zip(i[first].tolist(), j[first].tolist()):
-                        ru, rv = find(u), find(v)
-                        if ru != rv:
-                            root[max(ru, rv)] = min(ru, rv)
-                            forest.append((u, v))
-                    flat = np.array([find(q) for q in range(len(rep))])
-                    apart = flat[i] != flat[j]
-                    i, j = i[apart], j[apart]
+                forest.add(i, j)
             some = np.flatnonzero(links)
-            u, v = (np.array(z, np.int64) for z in zip(*forest)) if forest else (np.zeros(0, np.int64),) * 2
+            u, v = (np.array(z, np.int64) for z in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
             return pa.Table.from_arrays([pa.array(np.concatenate([rep[some], rep[u]])), pa.array([None] * len(some) + rep[v].tolist(), pa.int64()), pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)]))], ["rep", "other", "links"])
 
         found = cut(tasks.groupBy("pivot", "a", "b").applyInArrow(compare, "rep long, other long, links long"))
