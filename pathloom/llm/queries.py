@@ -60,6 +60,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op6_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_runs import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_digest
 
@@ -104,5 +110,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op5_ngram_join": op5_ngram_join, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
+QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op5_ngram_join": op5_ngram_join, "op6_suffix_runs": op6_suffix_runs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
 SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL}
