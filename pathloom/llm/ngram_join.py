@@ -35,7 +35,9 @@ FACTORS = np.random.default_rng(31).integers(1, 2**62, 64, dtype=np.uint64) * np
 #: Share of a set by which prefixes are longer than one common n-gram asks for.
 SLACK = 0.07
 CHUNK = 400_000
-PAIRS_A_GROUP = 400_000
+PAIRS_A_GROUP = 100_000
+#: Fragments in which overlaps are counted; pairs come in groups of bounded size, so these need not grow.
+SEGMENTS = 8
 #: Classes of a list beyond which its pairs are not listed.
 LONG = 200
 #: Classes of a chunk of a cluster of long lists.
@@ -185,7 +187,7 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose, "cls long, n long, grams array<long>")
 
 
-def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds, fragments: int) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs (a, na, b, nb) that link: overlaps counted fragment by fragment and summed per pair.
 
     Pairs are dealt into groups of bounded size; a group gets the segments of the classes it names.
@@ -194,7 +196,7 @@ def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds, fragments: i
     dealt = pairs.withColumn("g", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(groups)).cast("int"))
     needs = dealt.select(F.col("a").alias("cls"), "g").unionByName(dealt.select(F.col("b").alias("cls"), "g")).distinct()
     sent = segments.join(needs, "cls").select(F.col("g").alias("to_g"), F.col("f").alias("to_f"), "cls", "grams")
-    asked = dealt.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).select("g", "f", "a", "b")
+    asked = dealt.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))).select("g", "f", "a", "b")
 
     def overlap(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 3, ["a", "b", "part"])
@@ -301,7 +303,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
         for batch in batches:
             cls, f, grams = [], [], []
             for c, s in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1).to_pylist(), words)):
-                cuts = fragment_cuts(s, fragments)
+                cuts = fragment_cuts(s, SEGMENTS)
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     cls.append(c)
                     f.append(k)
@@ -311,7 +313,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.join(chosen.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     segments = cut(texts.mapInArrow(cut_up, "cls long, f int, grams binary"))
     free(spark)
-    links = verified(stars, segments, bounds, fragments)
+    links = verified(stars, segments, bounds)
     long = posts.join(heads.where(F.col("size") > LONG), "h").select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
     if not long.isEmpty():
         members = components(long, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(chosen.select("cls", "n"), "cls")
@@ -328,7 +330,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     rest = cut(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     free(spark)
     if not rest.isEmpty():
-        links = cut(links.unionByName(verified(rest, segments, bounds, fragments)))
+        links = cut(links.unionByName(verified(rest, segments, bounds)))
         first = components(links, "a", "b")
     out = member.join(first.withColumnRenamed("node", "cls"), "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
