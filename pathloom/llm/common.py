@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets the cleaner remove shuffle files that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets the cleaner remove shuffle files that nothing refers to any more.
+
+    Python's frames hold theirs in the JVM until they are collected; the cleaner runs beside, so it gets a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
