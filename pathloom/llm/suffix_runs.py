@@ -73,10 +73,31 @@ class Texts:
         return mix((self.sums[b] - self.sums[a]) * self.powers.down[a] + (b - a).astype(np.uint64))
 
 
-def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest") -> DataFrame:
-    """(doc_id, key) of distinct texts with n_bytes, n_removed, n_spans and either kept_sha256 or kept, bytes.
-
-    docs: doc_id long, key (a digest of the text), text binary, no two rows alike.
+def pairs_of(raw: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in raw)]).reshape(-1, 2)
+
+
+def fresh(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Of a block's rows those that are neither copies of earlier documents nor repeated; and what else came with the copies."""
+    fragment = right.column("fragment").to_numpy() if right.num_rows else np.zeros(0, np.int32)
+    copies = pairs_of(right.column("ids").filter(pa.array(fragment < 0)).to_pylist()) if right.num_rows else np.zeros((0, 2), np.int64)
+    doc, key = left.column("doc_id").to_numpy(), left.column("text_key").to_numpy()
+    kind = np.dtype([("d", np.int64), ("k", np.int64)])
+    pairs = np.empty(len(doc), kind)
+    pairs["d"], pairs["k"] = doc, key
+    gone = np.empty(len(copies), kind)
+    gone["d"], gone["k"] = copies.T if len(copies) else (0, 0)
+    once = np.zeros(len(doc), bool)
+    once[np.unique(pairs, return_index=True)[1]] = True
+    once &= ~np.isin(pairs, gone) & (left.column("size").to_numpy() >= DEPTH)
+    return np.flatnonzero(once), right.filter(pa.array(fragment >= 0)) if right.num_rows else right
+
+
+def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest") -> DataFrame:
+    """(doc_id, text_key) of texts of DEPTH bytes or more, each once, with n_removed, n_spans and kept (a digest or the bytes).
+
+    docs: doc_id long, text_key long (a hash), text binary. copies: doc_id, text_key of rows whose text an
+    earlier document has; they are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -84,14 +105,26 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
     blocks = size_class(size, block_bytes, partitions(spark))
     fragments = blocks
     slots = F.array(*map(F.lit, spread_slots(docs, blocks)))
-    dealt = docs.select("doc_id", "key", "text", F.element_at(slots, F.expr(f"pmod(xxhash64(doc_id), {blocks}) + 1").cast("int")).alias("slot")).repartition(blocks, "slot")
+    slot_of = F.element_at(slots, F.expr(f"pmod(xxhash64(doc_id), {blocks}) + 1").cast("int"))
+    dealt = docs.select("doc_id", "text_key", "text", F.octet_length("text").alias("size"), slot_of.alias("slot")).repartition(blocks, "slot")
+
+    def pack_copies(rows: pa.Table) -> pa.Table:
+        pairs = np.stack([rows.column("doc_id").to_numpy(), rows.column("text_key").to_numpy()], 1)
+        return pa.Table.from_arrays([pa.array([rows.column("slot")[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([np.ascontiguousarray(pairs).tobytes()], pa.binary()), pa.array([len(pairs)], pa.int64())], ["slot", "fragment", "ids", "n"])
 
-    def send(batches):
-        waiting: dict[int, list] = {}
+    copied = cut(copies.select("doc_id", "text_key", slot_of.alias("slot")).groupBy("slot").applyInArrow(pack_copies, "slot int, fragment int, ids binary, n long"))
 
-        def flush(slot):
-            got = waiting.pop(slot)
-            ids, owner = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            slot, texts, docs_of = left.column("slot")[0].as_py(), left.column("text"), left.column("doc_id").to_numpy()
+            index, _ = fresh(left, right)
+            ids, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for lo, hi in steps(left.column("size").to_numpy()[index].tolist()):
+                t = Texts([texts[i].as_py() for i in index[lo:hi].tolist()], fragments)
+                ids.append(t.id.astype(np.uint64))
+                owner.append(docs_of[index[lo:hi]][t.text])
+            ids, owner = np.concatenate(ids), np.concatenate(owner)
             order = np.argsort(ids, kind="stable")
             ids, owner = ids[order], owner[order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
@@ -99,23 +132,10 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
             ids = ids[first]
             cuts = np.searchsorted(ids >> np.uint64(40), np.arange(fragments + 1, dtype=np.uint64))
             rows = [(f, slot, pack_ids(1, ids[a:b]), np.packbits(several[a:b]).tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["fragment", "slot", "ids", "several"])
-
-        for batch in batches:
-            slot_of, texts, docs_of = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(0).to_numpy()
-            for slot in np.unique(slot_of).tolist():
-                index = np.flatnonzero(slot_of == slot)
-                for lo, hi in steps([len(texts[i]) for i in index]):
-                    t = Texts([texts[i] for i in index[lo:hi]], fragments)
-                    if len(t.place):
-                        waiting.setdefault(slot, []).append((t.id, docs_of[index[lo:hi]][t.text]))
-            while sum(len(g[0]) for gs in waiting.values() for g in gs) > 4_000_000:
-                yield from flush(max(waiting, key=lambda s: sum(len(g[0]) for g in waiting[s])))
-        for slot in list(waiting):
-            yield from flush(slot)
-
-    sent = dealt.select("doc_id", "slot", "text").mapInArrow(send, "fragment int, slot int, ids binary, several binary")
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["fragment", "slot", "ids", "several"])
+
+    sent = dealt.groupBy("slot").cogroup(copied.groupBy("slot")).applyInArrow(send, "fragment int, slot int, ids binary, several binary")
 
     def answer(rows: pa.Table) -> pa.Table:
         f, slots_of = rows.column("fragment")[0].as_py(), rows.column("slot").to_pylist()
@@ -127,7 +147,6 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
         ids, several, slot = ids[order], several[order], slot[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         n = np.diff(np.append(first, len(ids)))
-        # a block may send in parts: more than one entry is enough to look closer
         shared = np.repeat(np.logical_or.reduceat(several, first) | (n > 1), n)
         by = np.flatnonzero(shared)
         by = by[np.argsort(slot[by], kind="stable")]
@@ -143,21 +162,22 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
         names = ["bucket", "slot", "docs", "places", "sizes", "raw"]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         rows = []
-        if left.num_rows and right.num_rows:
+        index, right = fresh(left, right) if left.num_rows else (np.zeros(0, np.int64), right)
+        if len(index) and right.num_rows:
             slot = left.column("slot")[0].as_py()
             wanted = np.unique(np.concatenate([unpack_ids(1, f, x) for f, x in zip(right.column("fragment").to_pylist(), right.column("ids").to_pylist())]))
-            docs_of, texts = left.column("doc_id").to_numpy(), left.column("text")
-            lengths = left.column("size").to_numpy()
+            docs_of, texts = left.column("doc_id").to_numpy()[index], left.column("text")
+            lengths = left.column("size").to_numpy()[index]
             found = []
             for lo, hi in steps(lengths.tolist()):
-                t = Texts(texts.slice(lo, hi - lo).to_pylist(), fragments)
+                t = Texts([texts[i].as_py() for i in index[lo:hi].tolist()], fragments)
                 hit = wanted[np.minimum(np.searchsorted(wanted, t.id), len(wanted) - 1)] == t.id if len(t.id) else np.zeros(0, bool)
                 place, text, ids = t.place[hit], t.text[hit], t.id[hit]
                 begin = np.maximum(place - (DEPTH - GRAM), t.begins[text])
                 end = np.minimum(place + DEPTH, t.begins[text] + t.sizes[text])
                 whole = np.zeros((len(place), 2 * DEPTH - GRAM), np.uint8)
-                index = np.minimum(begin[:, None] + np.arange(whole.shape[1]), len(t.buf) - 1) if len(place) else np.zeros(whole.shape, np.int64)
-                whole[:] = t.buf[index]
+                if len(place):
+                    whole[:] = t.buf[np.minimum(begin[:, None] + np.arange(whole.shape[1]), len(t.buf) - 1)]
                 found.append((ids, t.hash(begin, end), docs_of[lo:hi][text], begin - t.begins[text], end - begin, whole, text + lo))
             ids, h, doc, place, sizes, whole, row = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((row, doc, h, ids))
@@ -180,7 +200,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
                 rows.append((int(bucket[a]), slot, doc[g].tobytes(), place[g].tobytes(), sizes[g].astype("u1").tobytes(), whole[g][used].tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    gathered = dealt.withColumn("size", F.octet_length("text")).groupBy("slot").cogroup(shared.groupBy("slot"))
+    gathered = dealt.groupBy("slot").cogroup(shared.unionByName(copied).groupBy("slot"))
     gathered = gathered.applyInArrow(contexts, "bucket int, slot int, docs binary, places binary, sizes binary, raw binary")
 
     def match(rows: pa.Table) -> pa.Table:
@@ -226,16 +246,19 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
     free(spark)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs_of, raw = left.column("doc_id").to_numpy(), left.column("text")
+        copies = right.filter(pa.array(np.array(right.column("copies").to_pylist(), bool)))
+        index, _ = fresh(left, copies.select(["fragment", "ids"])) if left.num_rows else (np.zeros(0, np.int64), None)
+        right = right.filter(pa.array(~np.array(right.column("copies").to_pylist(), bool)))
+        docs_of, raw = left.column("doc_id").to_numpy()[index], left.column("text")
         join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in right.column(c).to_pylist())])
         doc, place, bits = join("docs", np.int64), join("places", np.int64), join("bits", np.uint64)
         order = np.argsort(doc, kind="stable")
         doc, place, bits = doc[order], place[order], bits[order]
         lo, hi = np.searchsorted(doc, docs_of), np.searchsorted(doc, docs_of, "right")
         width = DEPTH - GRAM + 1
-        out = ([], [], [], [])
+        out = ([], [], [])
         for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
-            text = raw[i].as_py()
+            text = raw[int(index[i])].as_py()
             removed = spans = 0
             left_over = text
             if b > a:
@@ -251,32 +274,38 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest
                 left_over = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 if want == "text":  # whole characters only: a cut one keeps nothing
                     left_over = left_over.decode("utf-8", "ignore").encode()
-            for column, x in zip(out, (len(text), removed, spans, hashlib.sha256(left_over).hexdigest() if want == "digest" else left_over)):
+            for column, x in zip(out, (removed, spans, hashlib.sha256(left_over).hexdigest() if want == "digest" else left_over)):
                 column.append(x)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if want == "digest" else pa.binary()]
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("key"), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept"])
+        types = [pa.int64(), pa.int64(), pa.string() if want == "digest" else pa.binary()]
+        return pa.Table.from_arrays([pa.array(docs_of), left.column("text_key").take(pa.array(index)), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "text_key", "n_removed", "n_spans", "kept"])
 
-    stripped = dealt.groupBy("slot").cogroup(marks.groupBy("slot"))
-    return stripped.applyInArrow(strip, "doc_id long, key string, n_bytes long, n_removed long, n_spans long, kept " + ("string" if want == "digest" else "binary"))
+    none = F.lit(None)
+    beside = marks.select("slot", F.lit(False).alias("copies"), none.cast("int").alias("fragment"), none.cast("binary").alias("ids"), "docs", "places", "bits")
+    beside = beside.unionByName(copied.select("slot", F.lit(True).alias("copies"), "fragment", "ids", *(none.cast("binary").alias(c) for c in ("docs", "places", "bits"))))
+    stripped = dealt.groupBy("slot").cogroup(beside.groupBy("slot"))
+    return stripped.applyInArrow(strip, "doc_id long, text_key long, n_removed long, n_spans long, kept " + ("string" if want == "digest" else "binary"))
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their text and, of each text, the row that is kept."""
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_raw", F.coalesce("text", F.lit("")).cast("binary"))
-    rows = rows.withColumns({"_key": F.md5("_raw"), "_n": F.octet_length("_raw").cast("long")})
-    first = rows.groupBy("_key").agg(F.min("_id").alias("_first"))
-    return rows, first
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the keys of their texts, what is removed of distinct texts, and a narrow table of all rows."""
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_raw": F.coalesce("text", F.lit("")).cast("binary")})
+    rows = rows.withColumns({"_key": F.xxhash64("_raw"), "_n": F.octet_length("_raw").cast("long")})
+    narrow = rows.select("doc_id", "_id", "_key", F.md5("_raw").alias("_md5"), "_n", F.when(F.col("_n") < DEPTH, F.sha2("_raw", 256)).alias("_sha"))
+    first = narrow.groupBy("_md5").agg(F.min("_id").alias("_first"))
+    narrow = cut(narrow.join(first, "_md5").drop("_md5"))
+    copies = narrow.where("_id > _first").select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key")).distinct()
+    return rows, narrow, copies
+
+
+def removed(rows: DataFrame, copies: DataFrame, want: str) -> DataFrame:
+    done = repeats(rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_raw").alias("text")), copies, want=want)
+    return done.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    rows, first = keyed(docs.select("doc_id", "text"))
-    first = cut(first)
-    # narrow: a short text that isn't kept where it is first is left as it is
-    narrow = cut(rows.select("doc_id", "_id", "_key", "_n", F.when(F.col("_n") < DEPTH, F.sha2("_raw", 256)).alias("_sha")).join(first, "_key"))
-    texts = rows.join(first.select(F.col("_key").alias("_k"), F.col("_first").alias("_f")), (F.col("_key") == F.col("_k")) & (F.col("_id") == F.col("_f")), "left_semi")
-    texts = texts.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_raw").alias("text")).where(F.octet_length("text") >= DEPTH).dropDuplicates(["doc_id", "key"])
-    done = repeats(texts).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n_removed", "n_spans", "kept")
+    rows, narrow, copies = keyed(docs.select("doc_id", "text"))
+    done = removed(rows, copies, "digest")
     out = narrow.join(done, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     copy = (F.col("_n") >= DEPTH) & (F.col("_id") > F.col("_first"))
     return out.select(
@@ -288,15 +317,13 @@ def removal_digest(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut out of text, columns as given (n_chars, where it is there, follows the text)."""
-    rows, first = keyed(docs)
-    first = cut(first)
-    texts = rows.join(first.select(F.col("_key").alias("_k"), F.col("_first").alias("_f")), (F.col("_key") == F.col("_k")) & (F.col("_id") == F.col("_f")), "left_semi")
-    texts = texts.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_raw").alias("text")).where(F.octet_length("text") >= DEPTH).dropDuplicates(["doc_id", "key"])
-    done = repeats(texts, want="text").where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "kept")
-    out = rows.join(first.withColumnRenamed("_key", "_fk"), F.col("_key") == F.col("_fk")).join(done, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    copy = (F.col("_n") >= DEPTH) & (F.col("_id") > F.col("_first"))
-    out = out.withColumn("text", F.when(copy, F.lit("")).when(F.col("kept").isNotNull(), F.col("kept").cast("string")).otherwise(F.col("text")))
+    rows, _, copies = keyed(docs)
+    done = removed(rows, copies, "text").where("n_removed > 0").select("_d", "_k", "kept")
+    whole = copies.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.lit(b"").alias("kept"))
+    out = rows.join(done.unionByName(whole), (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    cut_out = F.col("kept").isNotNull() & (F.col("_n") >= DEPTH)
+    out = out.withColumn("text", F.when(cut_out, F.col("kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(cut_out, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return out.select(docs.columns)
