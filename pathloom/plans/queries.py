@@ -1,4 +1,295 @@
-"""The queries of the path search operators, and their SQL."""
+"""The queries of the path search operators over the driver's tables, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import Typed, ancestors, base_name, normal_path, parent
+from ..operators import history as H
+from ..operators import index as I
+from ..operators import maintain as M
+from ..operators import retrieve as R
+from ..operators import search as S
+from ..sources import corpora as C
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+#: Fixed value: 2001-11-05 00:00 UTC, the day after the last event of the log.
+NOW_MS = 1_004_918_400_000
+
+FILES = """files AS (SELECT p_partkey AS seq, 'parts' AS workspace, 'file' AS kind,
+  p_brand || '/' || p_type || '/' || replace(p_name, ' ', '_') || '-' || p_partkey || '.item' AS relative_path FROM part)"""
+PATHS = (
+    FILES
+    + """, every AS (SELECT * FROM files UNION ALL SELECT DISTINCT -1, 'parts', 'directory', unnest([split_part(relative_path, '/', 1), split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2)]) FROM files),
+paths AS (SELECT *, lower(relative_path) AS norm_path, regexp_extract(lower(relative_path), '([^/]*)$', 1) AS norm_name, regexp_extract(lower(relative_path), '^(.*)/', 1) AS norm_parent, workspace AS norm_workspace FROM every)"""
+)
+PAGES = """pages0 AS (SELECT page_id AS seq, regexp_extract(regexp_extract(url, '^[^:]+://(.*)$', 1), '^([^/?#]*)', 1) AS workspace, 'file' AS kind,
+  regexp_replace(regexp_extract(regexp_extract(url, '^[^:]+://(.*)$', 1), '^[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS relative_path FROM pages),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace, relative_path ORDER BY seq) AS k FROM pages0) WHERE k = 1)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def fuzzy_sql(whole: str, q: str) -> str:
+    chars = ", ".join(f"{{'ch': '{c}', 'at': 0, 'score': CAST(0 AS DOUBLE)}}" for c in q)
+    at = f"instr(substr({whole}, s.at + 1), c.ch)"
+    step = f"""CASE WHEN s.at >= 0 AND {at} > 0 THEN {{'ch': c.ch, 'at': CAST(s.at + {at} AS INTEGER), 'score': CAST(s.score + CASE WHEN {at} = 1 AND s.at > 0 THEN 24 ELSE 6 END
+      + CASE WHEN s.at + {at} = 1 OR substr({whole}, CAST(s.at + {at} - 1 AS BIGINT), 1) = '/' THEN 35 ELSE 0 END AS DOUBLE)}} ELSE {{'ch': c.ch, 'at': CAST(-1 AS INTEGER), 'score': s.score}} END"""
+    folded = f"list_reduce([{{'ch': '', 'at': 0, 'score': CAST(0 AS DOUBLE)}}, {chars}], lambda s, c: {step})"
+    return f"(SELECT CASE WHEN r.at > 0 THEN r.score - length({whole}) * CAST(0.15 AS DOUBLE) END FROM (SELECT {folded} AS r))"
+
+
+def ladder_sql(q: str, use_fuzzy: bool = True) -> str:
+    if not q:
+        return "CASE WHEN kind = 'directory' THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    whole, d = "(norm_workspace || '/' || norm_path)", "CAST(0.1 AS DOUBLE)"
+    return f"""CAST(CASE WHEN norm_path = '{q}' THEN 10000 WHEN starts_with(norm_path, '{q}') THEN CAST(9000 AS DOUBLE) - length(norm_path)
+      WHEN norm_name = '{q}' THEN 8500 WHEN starts_with(norm_name, '{q}') THEN CAST(8000 AS DOUBLE) - length(norm_name)
+      WHEN instr(norm_path, '/{q}') > 0 THEN CAST(7500 AS DOUBLE) - (instr(norm_path, '/{q}') - 1) - length(norm_path) * {d}
+      WHEN instr(norm_path, '{q}') > 0 THEN CAST(7000 AS DOUBLE) - (instr(norm_path, '{q}') - 1) - length(norm_path) * {d}
+      WHEN {whole} = '{q}' THEN 10000 WHEN instr({whole}, '{q}') > 0 THEN CAST(6500 AS DOUBLE) - (instr({whole}, '{q}') - 1) - length({whole}) * {d}
+      ELSE {fuzzy_sql(whole, q) if use_fuzzy else "NULL"} END AS DOUBLE)"""
+
+
+def top_sql(rows: str, k: int) -> str:
+    return f"""SELECT row_number() OVER (ORDER BY score DESC, kind <> 'directory', relative_path COLLATE en, workspace, seq) AS rank, relative_path, workspace, kind, score
+FROM ({rows}) WHERE score IS NOT NULL ORDER BY rank LIMIT {k}"""
+
+
+def scored_sql(q: str, where: str = "true", use_fuzzy: bool = True) -> str:
+    return f"SELECT *, {ladder_sql(q, use_fuzzy)} AS score FROM paths WHERE {where}"
+
+
+def all_scores(q: str, use_fuzzy: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return S.scored(C.part_paths(spark, sf_dir), q, use_fuzzy).select("relative_path", "kind", "score")
+
+    return run, f"WITH {PATHS} SELECT relative_path, kind, score FROM ({scored_sql(q, use_fuzzy=use_fuzzy)}) WHERE score IS NOT NULL"
+
+
+for _name, _q, _fuzzy in (
+    ("score_exact_path", "brand#1", False), ("score_prefix", "brand#1/", False), ("score_segment", "economy", False), ("score_substring", "gear", False),
+    ("score_workspace_qualified", "parts/brand#2", False), ("score_fuzzy", "rngear", True),
+):
+    QUERIES[_name], SQL[_name] = all_scores(_q, _fuzzy)
+
+
+def searches(text: str, where: str, q: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths = C.part_paths(spark, sf_dir)
+        return S.search(paths, S.plan_request(paths, text, **options))
+
+    return run, f"WITH {PATHS} " + top_sql(scored_sql(q, where, options.get("fuzzy", True)), options.get("k", 50))
+
+
+for _name, _text, _where, _q, _options in (
+    ("rank_topk", "gear", "true", "gear", {}),
+    ("rank_empty_query", "", "norm_parent = ''", "", {}),
+    ("search_len1", "n", "starts_with(norm_name, 'n')", "n", {}),
+    ("search_len2", "ea", "instr(norm_name, 'ea') > 0", "ea", {}),
+    ("search_scoped", "Brand#1/ge", "starts_with(norm_path, 'brand#1/') AND instr(norm_name, 'ge') > 0", "ge", {}),
+    ("search_global", "//brand#1/gear", "true", "brand#1/gear", {}),
+    ("search_strict", "gear", "true", "gear", {"fuzzy": False}),
+    ("kind_filter", "bra", "kind = 'directory'", "bra", {"files": False}),
+    ("plan_fallback_global", "brand/gear", "true", "brand/gear", {}),
+    ("direct_children", "Brand#1/", "norm_parent = 'brand#1'", "", {"k": 500}),
+):
+    QUERIES[_name], SQL[_name] = searches(_text, _where, _q, **_options)
+
+
+@query("normalize_paths", f"WITH {PATHS} SELECT relative_path, kind, norm_path, norm_name, norm_parent FROM paths")
+def normalize_paths(spark, sf_dir):
+    return C.part_paths(spark, sf_dir).select("relative_path", "kind", "norm_path", "norm_name", "norm_parent")
+
+
+@query("descendants", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE starts_with(norm_path, 'brand#1/')")
+def descendants(spark, sf_dir):
+    return C.part_paths(spark, sf_dir).where(R.in_scope("Brand#1", False)).select("relative_path", "kind")
+
+
+@query("exclude_dirs", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE NOT list_contains(string_split(norm_path, '/')[1:CASE WHEN kind = 'file' THEN 2 ELSE 9 END], 'brand#2')")
+def exclude_dirs(spark, sf_dir):
+    return I.exclude(C.part_paths(spark, sf_dir), ["brand#2"]).select("relative_path", "kind")
+
+
+@query("exclude_suffixes", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE kind <> 'file' OR NOT ends_with(norm_path, '7.item')")
+def exclude_suffixes(spark, sf_dir):
+    return I.exclude(C.part_paths(spark, sf_dir), suffixes=["7.item"]).select("relative_path", "kind")
+
+
+@query("depth_limit", f"WITH {PATHS} SELECT relative_path, len(string_split(relative_path, '/')) = 2 AND kind = 'directory' AS cut FROM paths WHERE len(string_split(relative_path, '/')) <= 2")
+def depth_limit(spark, sf_dir):
+    return C.part_paths(spark, sf_dir).where("depth <= 2").select("relative_path", ((F.col("depth") == 2) & (F.col("kind") == "directory")).alias("cut"))
+
+
+@query("display_parent", f"WITH {PATHS} SELECT relative_path, regexp_extract(relative_path, '([^/]*)$', 1) AS label, CASE WHEN norm_parent = '' THEN './' ELSE regexp_extract(relative_path, '^(.*)/', 1) END AS above FROM paths")
+def display_parent(spark, sf_dir):
+    path = F.col("relative_path")
+    return C.part_paths(spark, sf_dir).select("relative_path", base_name(path).alias("label"), F.when(parent(path) == "", "./").otherwise(parent(path)).alias("above"))
+
+
+@query("index_dedupe", f"WITH {PAGES} SELECT workspace, relative_path, seq, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS entry_id FROM firsts")
+def index_dedupe(spark, sf_dir):
+    return I.first_of_equal(C.page_paths(spark, sf_dir)).select("workspace", "relative_path", "seq", F.col("entry_id").cast("long").alias("entry_id"))
+
+
+@query("derive_directories", f"WITH {PAGES} SELECT DISTINCT workspace, array_to_string(string_split(relative_path, '/')[1:i], '/') AS directory FROM firsts, LATERAL (SELECT unnest(range(1, len(string_split(relative_path, '/')))) AS i)")
+def derive_directories(spark, sf_dir):
+    return C.page_paths(spark, sf_dir).select("workspace", F.explode(ancestors(F.col("relative_path"))).alias("directory")).distinct()
+
+
+@query("workspace_filter", f"WITH {PAGES} SELECT workspace, relative_path FROM firsts WHERE ends_with(workspace, '.example.com')")
+def workspace_filter(spark, sf_dir):
+    return I.first_of_equal(C.page_paths(spark, sf_dir)).where(F.col("workspace").endswith(".example.com")).select("workspace", "relative_path")
+
+
+@query("entry_quota")
+def entry_quota(spark, sf_dir):
+    return I.quota(I.first_of_equal(C.page_paths(spark, sf_dir)), 100).select("workspace", "relative_path")
+
+
+OPENS = """opened AS (SELECT relative_path, epoch_ms(l_shipdate) AS at_ms FROM lineitem JOIN files ON seq = l_partkey),
+gaps AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY relative_path ORDER BY at_ms) AS gap FROM opened),
+history AS (SELECT relative_path, max(at_ms) AS last_ms, CAST(sum(CASE WHEN gap IS NULL OR gap >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS opens FROM gaps GROUP BY relative_path)"""
+
+
+def part_history(spark, sf_dir):
+    """Opens of the log; files of a name ending in 7 are pinned, those in 3 were chosen three times."""
+    h = H.count_opens(C.opens(spark, sf_dir))
+    return h.withColumns({"workspace": F.lit("parts"), "kind": F.lit("file"), "pinned": F.col("relative_path").endswith("77.item"), "affinity": F.when(F.col("relative_path").endswith("33.item"), 3)})
+
+
+BOOST = f"""round((CASE WHEN ends_with(relative_path, '77.item') THEN CAST(2000 AS DOUBLE) ELSE 0 END) + least(CAST(300 AS DOUBLE), least(CAST(180 AS DOUBLE), log2(opens + CAST(1 AS DOUBLE)) * 40)
+  + greatest(CAST(0 AS DOUBLE), 120 - greatest(CAST(0 AS DOUBLE), (CAST({NOW_MS} AS DOUBLE) - last_ms) / CAST(86400000 AS DOUBLE)) * 10))
+  + least(CAST(2500 AS DOUBLE), log2((CASE WHEN ends_with(relative_path, '33.item') THEN 3 ELSE 0 END) + CAST(1 AS DOUBLE)) * 1200), 6)"""
+
+
+@query("history_opens", f"WITH {FILES}, {OPENS} SELECT relative_path, last_ms, opens FROM history")
+def history_opens(spark, sf_dir):
+    return H.count_opens(C.opens(spark, sf_dir))
+
+
+@query("history_topn", f"WITH {FILES}, {OPENS} SELECT relative_path, ends_with(relative_path, '77.item') AS pinned, last_ms FROM history ORDER BY pinned DESC, last_ms DESC, relative_path LIMIT 200")
+def history_topn(spark, sf_dir):
+    return H.newest(part_history(spark, sf_dir)).select("relative_path", "pinned", "last_ms")
+
+
+@query("usage_boost", f"WITH {FILES}, {OPENS} SELECT relative_path, {BOOST} AS gain FROM history")
+def usage_boost(spark, sf_dir):
+    from ..functions.score import boost
+
+    h = part_history(spark, sf_dir)
+    return h.select("relative_path", boost(F.col("pinned"), F.col("last_ms"), F.col("opens"), F.col("affinity"), NOW_MS).alias("gain"))
+
+
+@query("query_affinity", f"WITH {FILES}, clicks AS (SELECT 'ge' || (event_id % 3) AS query, seq, epoch_us(ts) // 1000 AS at_ms FROM events, (SELECT count(*) AS n FROM part) JOIN files ON true WHERE event_type = 'click' AND seq = event_id % n) SELECT query, relative_path, count(*) AS affinity, max(at_ms) AS last_ms FROM clicks JOIN files USING (seq) GROUP BY ALL")
+def query_affinity(spark, sf_dir):
+    files = C.part_files(spark, sf_dir).select("seq", "relative_path")
+    e = C.table(spark, sf_dir, "events").where("event_type = 'click'").join(C.table(spark, sf_dir, "part").agg(F.count("*").alias("n")))
+    log = e.select((F.col("event_id") % F.col("n")).alias("seq"), F.concat(F.lit("ge"), (F.col("event_id") % 3).cast("string")).alias("query"), F.expr("unix_millis(cast(ts as timestamp))").alias("at_ms")).join(files, "seq")
+    return H.choices(log)
+
+
+@query(
+    "search_with_history",
+    f"WITH {PATHS}, {OPENS}, both_rows AS (SELECT p.*, h.opens, h.last_ms FROM ({scored_sql('gear')}) p LEFT JOIN history h ON p.kind = 'file' AND p.relative_path = h.relative_path), "
+    f"gained AS (SELECT * EXCLUDE (score), round(CASE WHEN opens IS NULL THEN score ELSE score + {BOOST} END, 6) AS score FROM both_rows) " + top_sql("SELECT * FROM gained", 50),
+)
+def search_with_history(spark, sf_dir):
+    return S.search(C.part_paths(spark, sf_dir), S.Request(Typed("", "gear"), now_ms=NOW_MS), part_history(spark, sf_dir))
+
+
+def posting_sql(tokens: str) -> str:
+    return f"WITH {PATHS} SELECT DISTINCT workspace, token, relative_path FROM paths, LATERAL (SELECT unnest({tokens}) AS token) WHERE token <> ''"
+
+
+SEGMENTS = "list_distinct(flatten(list_transform(string_split(norm_path, '/'), lambda s: [s[1:1], s[1:2], s[1:3]])))"
+for _kind, _tokens in (
+    ("prefix", "[norm_name[1:1], norm_name[1:2], norm_name[1:3]]"),
+    ("bigram", "list_transform(range(1, length(norm_name)), lambda i: substr(norm_name, i, 2))"),
+    ("segment", SEGMENTS),
+):
+    QUERIES[f"postings_{_kind}"] = lambda spark, sf_dir, kind=_kind: I.postings(C.part_paths(spark, sf_dir), kind)
+    SQL[f"postings_{_kind}"] = posting_sql(_tokens)
+
+GRAMS = f"""{PATHS}, posts AS (SELECT DISTINCT workspace, token, relative_path FROM paths, LATERAL (SELECT unnest(list_transform(range(1, length(norm_name)), lambda i: substr(norm_name, i, 2))) AS token)),
+n AS (SELECT workspace, token, count(*) AS n FROM posts WHERE token IN ('ge', 'ea', 'ar') GROUP BY ALL)"""
+
+
+@query("ngram_rarest", f"WITH {GRAMS}, best AS (SELECT workspace, min_by(token, (n, token)) AS token FROM n GROUP BY workspace HAVING count(*) = 3) SELECT workspace, relative_path FROM posts JOIN best USING (workspace, token)")
+def ngram_rarest(spark, sf_dir):
+    return R.rarest_gram(I.postings(C.part_paths(spark, sf_dir), "bigram"), "gear")
+
+
+@query("ngram_intersect", f"WITH {GRAMS} SELECT workspace, relative_path FROM posts JOIN n USING (workspace, token) GROUP BY ALL HAVING count(*) = 3")
+def ngram_intersect(spark, sf_dir):
+    return R.common_grams(I.postings(C.part_paths(spark, sf_dir), "bigram"), "gear")
+
+
+@query("segment_intersect", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE list_has_all({SEGMENTS}, ['bra', 'eco'])")
+def segment_intersect(spark, sf_dir):
+    return R.all_segments(C.part_paths(spark, sf_dir), "eco/bra").select("relative_path", "kind")
+
+
+@query("candidate_budget", f"WITH {PATHS} SELECT relative_path, kind, CASE WHEN norm_name = 'gear' THEN 0 WHEN starts_with(norm_name, 'gea') THEN 1 WHEN instr(norm_name, 'ge') > 0 THEN 2 ELSE 3 END AS pool FROM paths ORDER BY pool, workspace, seq, relative_path LIMIT 100")
+def candidate_budget(spark, sf_dir):
+    return R.budget(C.part_paths(spark, sf_dir), "gear", 100).select("relative_path", "kind", "pool")
+
+
+@query("suffix_unique", f"WITH {PATHS} SELECT relative_path FROM paths WHERE kind = 'directory' AND norm_path = (SELECT min(norm_path) FROM paths WHERE kind = 'directory' AND instr(norm_path, '/') > 0)")
+def suffix_unique(spark, sf_dir):
+    paths = C.part_paths(spark, sf_dir)
+    first = paths.where("kind = 'directory' and depth = 2").agg(F.min("norm_path")).first()[0]
+    return R.directory_by_suffix(paths, first).select("relative_path")
+
+
+@query("suffix_ambiguous", f"WITH {PATHS} SELECT relative_path FROM paths WHERE false")
+def suffix_ambiguous(spark, sf_dir):
+    return R.directory_by_suffix(C.part_paths(spark, sf_dir), "x/economy").select("relative_path")
+
+
+CHANGES = f"""{FILES}, changed AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS change, f.relative_path FROM events, (SELECT count(*) AS n FROM part) JOIN files f ON f.seq = event_id % n WHERE event_type IN ('error', 'signup')),
+last AS (SELECT relative_path, max_by(change, seq) AS change, max(seq) AS seq FROM changed GROUP BY relative_path)"""
+#: The stream and the batch start from the files of an even part number.
+LIVE = "live AS (SELECT relative_path FROM files WHERE seq % 2 = 0)"
+APPLIED = f"WITH {CHANGES}, {LIVE}, rest AS (SELECT relative_path FROM live WHERE relative_path NOT IN (SELECT relative_path FROM last WHERE change = 'delete')) SELECT relative_path FROM rest UNION SELECT relative_path FROM last WHERE change = 'create'"
+
+
+def live_files(spark, sf_dir):
+    return C.part_files(spark, sf_dir).where("seq % 2 = 0").select("relative_path")
+
+
+@query("coalesce_changes", f"WITH {CHANGES} SELECT relative_path, change, seq FROM last")
+def coalesce_changes(spark, sf_dir):
+    return M.last_change(C.changes(spark, sf_dir))
+
+
+@query("remove_subtree", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE norm_path <> 'brand#1' AND NOT starts_with(norm_path, 'brand#1/')")
+def remove_subtree(spark, sf_dir):
+    return M.remove_subtree(C.part_paths(spark, sf_dir), "Brand#1").select("relative_path", "kind")
+
+
+@query("apply_changes", APPLIED)
+def apply_changes(spark, sf_dir):
+    return M.apply_changes(live_files(spark, sf_dir), C.changes(spark, sf_dir), most=10_000_000)
+
+
+@query("case_lookup", f"WITH {PATHS} SELECT relative_path FROM paths WHERE norm_path = 'brand#1'")
+def case_lookup(spark, sf_dir):
+    return R.by_path(C.part_paths(spark, sf_dir), "BRAND#1").select("relative_path")
+
+
+@query("normalize_query", f"WITH {FILES} SELECT relative_path, lower(relative_path) AS norm FROM files")
+def normalize_query(spark, sf_dir):
+    return C.part_files(spark, sf_dir).select("relative_path", normal_path(F.concat(F.lit("./"), F.translate("relative_path", "/", "\\"))).alias("norm"))
