@@ -76,16 +76,15 @@ class RunIndex:
         self.owner = np.asarray(owners)[text] if n else np.zeros(0, np.int64)
         row_of = np.empty(n, np.int64)
         row_of[rows] = np.arange(n)
-        self.end_rows = self._start(self.intervals, row_of[self.ends])
+        self.end_rows = self.intervals[np.searchsorted(self.intervals, row_of[self.ends], "right") - 1]
+        # the intervals by row, so that a step looks up instead of searching
+        self.shorter_start = np.repeat(self.shorter, np.diff(np.append(self.shorter, n))).astype(np.int32)
+        self.row_owner = np.repeat(self.owner, np.diff(np.append(self.intervals, n)))
 
     @property
     def runs(self) -> int:
         return len(self.run_start)
 
-    @staticmethod
-    def _start(starts: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return starts[np.searchsorted(starts, row, "right") - 1]
-
     def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often the symbol stands in the transform before the row."""
         at = np.searchsorted(self.run_key, symbol * (self.n + 1) + row) - 1
@@ -103,7 +102,7 @@ class RunIndex:
             place[live] -= 1
             left[live] -= 1
             c = self.t[place[live]]
-            row[live] = self.less[c] + self.rank(c, self._start(self.shorter, row[live]))
-            out[place[live]] = self.owner[np.searchsorted(self.intervals, row[live], "right") - 1]
+            row[live] = self.less[c] + self.rank(c, self.shorter_start[row[live]].astype(np.int64))
+            out[place[live]] = self.row_owner[row[live]]
             live = live[left[live] > 0]
         return out

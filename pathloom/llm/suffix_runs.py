@@ -159,8 +159,8 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
     buckets = size_class(int(shared.agg(F.sum("n")).first()[0] or 0), CONTEXTS_A_BUCKET, partitions(spark))
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["bucket", "slot", "docs", "places", "sizes", "raw"]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "slot", "docs", "places", "sizes", "anchors", "raw"]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         rows = []
         index, right = fresh(left, right) if left.num_rows else (np.zeros(0, np.int64), right)
         if len(index) and right.num_rows:
@@ -178,17 +178,17 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
                 whole = np.zeros((len(place), 2 * DEPTH - GRAM), np.uint8)
                 if len(place):
                     whole[:] = t.buf[np.minimum(begin[:, None] + np.arange(whole.shape[1]), len(t.buf) - 1)]
-                found.append((ids, t.hash(begin, end), docs_of[lo:hi][text], begin - t.begins[text], end - begin, whole, text + lo))
-            ids, h, doc, place, sizes, whole, row = (np.concatenate(x) for x in zip(*found))
+                found.append((ids, t.hash(begin, end), docs_of[lo:hi][text], begin - t.begins[text], end - begin, whole, text + lo, (place - begin).astype(np.uint8)))
+            ids, h, doc, place, sizes, whole, row, anchor = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((row, doc, h, ids))
-            ids, h, doc, place, sizes, whole, row = (x[order] for x in (ids, h, doc, place, sizes, whole, row))
+            ids, h, doc, place, sizes, whole, anchor = (x[order] for x in (ids, h, doc, place, sizes, whole, anchor))
             new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])]) if len(ids) else np.zeros(0, bool)
             # others than the smallest document's match whole; its own further places fare as its first
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
             later = doc != doc[first]
             own = ~new & ~later
             if later.any():
-                rows.append((-1 - slot, slot, doc[later].tobytes(), place[later].tobytes(), sizes[later].astype("u1").tobytes(), b""))
+                rows.append((-1 - slot, slot, doc[later].tobytes(), place[later].tobytes(), sizes[later].astype("u1").tobytes(), anchor[later].tobytes(), b""))
             go = np.flatnonzero(new | own)
             bucket = ((mix(ids[go]) >> np.uint64(44)) * np.uint64(buckets)) >> np.uint64(20)
             by = np.argsort(bucket, kind="stable")
@@ -197,11 +197,11 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
             for a, b in zip(cuts[:-1], cuts[1:]):
                 g = go[a:b]
                 used = np.arange(whole.shape[1]) < sizes[g][:, None]
-                rows.append((int(bucket[a]), slot, doc[g].tobytes(), place[g].tobytes(), sizes[g].astype("u1").tobytes(), whole[g][used].tobytes()))
+                rows.append((int(bucket[a]), slot, doc[g].tobytes(), place[g].tobytes(), sizes[g].astype("u1").tobytes(), anchor[g].tobytes(), whole[g][used].tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     gathered = dealt.groupBy("slot").cogroup(shared.unionByName(copied).groupBy("slot"))
-    gathered = gathered.applyInArrow(contexts, "bucket int, slot int, docs binary, places binary, sizes binary, raw binary")
+    gathered = gathered.applyInArrow(contexts, "bucket int, slot int, docs binary, places binary, sizes binary, anchors binary, raw binary")
 
     def match(rows: pa.Table) -> pa.Table:
         """For each document and place, which of the strings from there on go, as bits."""
@@ -216,6 +216,18 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
             starts = np.cumsum(sizes) - sizes
             powers = kept("powers", Powers).reach(len(raw))
             run = sums(raw, powers, byte_salt())
+            # strings in common hold half the bytes around the anchor, on one side; contexts that share neither go
+            at = starts + np.frombuffer(b"".join(rows.column("anchors").to_pylist()), "u1")
+            half = (DEPTH - GRAM) // 2
+            alike = np.zeros(len(doc), bool)
+            for a, b in ((at - half, at + GRAM), (at, at + GRAM + half)):
+                whole = np.flatnonzero((a >= starts) & (b <= starts + sizes))
+                side = (run[b[whole]] - run[a[whole]]) * powers.down[a[whole]]
+                _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+                alike[whole] |= count[inverse] > 1
+            if not alike.any():
+                return pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], ["slot", "docs", "places", "bits"])
+            slot, doc, place, sizes, starts, strings = (x[alike] for x in (slot, doc, place, sizes, starts, strings))
             h = mix((run[starts + sizes] - run[starts]) * powers.down[starts] + sizes.astype(np.uint64))
             order = np.lexsort((doc, h))
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
