@@ -59,10 +59,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [sorted(word_keys(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["label", "keys"])
+            keys = [np.array(sorted(word_keys(t)), "<i8").tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.binary())], ["label", "keys"])
 
-    return docs.select("text", "label").mapInArrow(run, "label int, keys array<long>")
+    return docs.select("text", "label").mapInArrow(run, "label int, keys binary")
 
 
 class ToxicityModel:
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, limit
     small_batches(docs.sparkSession)
     chosen = sample(labels, "toxic", parts, held, limit)
     rows = keyed(docs.join(F.broadcast(chosen), "doc_id").select("text", "label")).collect()  # at most `limit` rows
-    return fit_words(sorted((r["label"], list(r["keys"])) for r in rows))
+    return fit_words([(y, np.frombuffer(k, "<i8")) for y, k in sorted((r["label"], bytes(r["keys"])) for r in rows)])
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
