@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 from .linear import fold, minimise, sample, sigmoid
 
 #: Terms that name groups, by kind; terms of a kind are swapped for each other.
@@ -54,12 +54,39 @@ def word_keys(text: str | None) -> set[int]:
     return {key(w) for w in words} | {key("^" + b) for b in begun}
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """label and the keys of the distinct words of each text."""
+def counted(docs: DataFrame) -> DataFrame:
+    """key, df, df1: in how many texts each key is, and in how many toxic ones; under the null key, how many there are."""
 
     def run(batches):
         for batch in batches:
-            keys = [np.array(sorted(word_keys(t)), "<i8").tobytes() for t in batch.column(0).to_pylist()]
+            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = [np.fromiter(word_keys(t), np.int64) for t in batch.column(0).to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+            vocab, where, df = np.unique(flat, return_inverse=True, return_counts=True)
+            df1 = np.bincount(where, weights=np.repeat(labels, [len(k) for k in keys]), minlength=len(vocab)).astype(np.int64)
+            totals = pa.array([None], pa.int64()), pa.array([len(labels)]), pa.array([int(labels.sum())])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([t, pa.array(x)]) for t, x in zip(totals, (vocab, df.astype(np.int64), df1))], ["key", "df", "df1"])
+
+    parts = docs.select("text", "label").mapInArrow(run, "key long, df long, df1 long")
+    return parts.groupBy("key").agg(F.sum("df").alias("df"), F.sum("df1").alias("df1"))
+
+
+def telling(counts: DataFrame, words: int, gain_least: float) -> np.ndarray:
+    """The `words` keys whose presence tells most of the label (chi-square, above `gain_least`), ascending."""
+    totals = counts.where("key IS NULL").first()
+    n, n1 = (totals["df"], totals["df1"]) if totals else (0, 0)
+    expected = F.col("df") * float(n1)
+    gain = F.expr(f"pow(df1 - df * {n1}D / {max(n, 1)}D, 2)") / (F.greatest(expected / max(n, 1) * (1 - n1 / max(n, 1)), F.lit(1e-9)) * F.greatest(1 - F.col("df") / max(n, 1), F.lit(1e-9)))
+    best = counts.where("key IS NOT NULL AND df >= 3").select("key", gain.alias("gain")).where(F.col("gain") > gain_least)
+    return np.array(sorted(r["key"] for r in best.orderBy(F.desc("gain"), "key").limit(words).collect()), np.int64)
+
+
+def keyed(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """label and which of the keys `chosen`, ascending, each text has."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [np.intersect1d(np.fromiter(word_keys(t), np.int64), chosen, assume_unique=True).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.binary())], ["label", "keys"])
 
     return docs.select("text", "label").mapInArrow(run, "label int, keys binary")
@@ -73,31 +100,25 @@ class ToxicityModel:
         return float(sigmoid(self.bias + sum(self.weights.get(k, 0.0) for k in word_keys(text))))
 
 
-def fit_words(rows: list[tuple[int, list[int]]], words: int = 4000, l2: float = 0.01, fairness: float = 5.0, gain_least: float = 20.0) -> ToxicityModel:
-    """rows: label, word keys. words: how many words the model may weigh, those whose presence tells most of the label."""
+def with_terms(chosen: np.ndarray) -> np.ndarray:
+    """The keys and those of the identity terms, ascending."""
+    return np.unique(np.concatenate([chosen, np.array([key(t) for group in IDENTITY_TERMS for t in group], np.int64)]))
+
+
+def fit_words(rows: list[tuple[int, np.ndarray]], chosen: np.ndarray | None = None, l2: float = 0.01, fairness: float = 5.0) -> ToxicityModel:
+    """rows: label, which of the keys `chosen` the text has. chosen: ascending, with the identity terms; by default all keys of the rows."""
     labels = np.array([y for y, _ in rows] or [0], np.float64)
-    sizes = np.array([len(k) for _, k in rows] or [0])
-    flat = np.concatenate([np.asarray(k, np.int64) for _, k in rows]) if len(rows) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(k, np.int64) for _, k in rows)])
+    chosen = with_terms(flat) if chosen is None else chosen
+    column = np.searchsorted(chosen, flat)
     terms = {key(t): kind for kind, group in enumerate(IDENTITY_TERMS) for t in group}
-    vocab, where = np.unique(flat, return_inverse=True)
-    n, n1 = len(labels), labels.sum()
-    df = np.bincount(where, minlength=len(vocab)).astype(float)
-    df1 = np.bincount(where, weights=labels[doc], minlength=len(vocab)) if len(flat) else np.zeros(0)
-    expected = df * n1 / max(n, 1)
-    gain = (df1 - expected) ** 2 / (np.maximum(expected * (1 - n1 / max(n, 1)), 1e-9) * np.maximum(1 - df / max(n, 1), 1e-9))
-    gain[df < 3] = 0
-    best = np.argsort(-gain, kind="stable")[:words]
-    chosen = vocab[best[gain[best] > gain_least]]
-    chosen = np.unique(np.concatenate([chosen, np.array(list(terms), np.int64)]))
-    place = np.searchsorted(chosen, flat)
-    hit = (place < len(chosen)) & (chosen[np.minimum(place, len(chosen) - 1)] == flat)
-    doc, column = doc[hit], place[hit]
     at = {int(k): i for i, k in enumerate(chosen)}
     by_kind = [[at[key(t)] for t in group] for group in IDENTITY_TERMS]
     # counterfactual copies, words as wholes: (text, term taken out, term put in)
     term_kind = {at[k]: kind for k, kind in terms.items()}
-    swaps = [(d, c, other) for d, c in zip(doc.tolist(), column.tolist()) if c in term_kind for other in by_kind[term_kind[c]] if other != c]
+    names = np.isin(column, list(term_kind))
+    swaps = [(d, c, other) for d, c in zip(doc[names].tolist(), column[names].tolist()) for other in by_kind[term_kind[c]] if other != c]
     sd, s_out, s_in = (np.array(x, np.int64) for x in zip(*swaps)) if swaps else (np.zeros(0, np.int64),) * 3
     # a pseudo-negative empty text keeps the prior defined
     y = np.append(labels, 0.0) if len(rows) else np.array([0.0])
@@ -125,12 +146,17 @@ def fit_words(rows: list[tuple[int, list[int]]], words: int = 4000, l2: float =
     return ToxicityModel({int(k): float(v) for k, v in zip(chosen, x[:-1]) if v}, float(x[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, limit: int = 12_000) -> ToxicityModel:
-    """Fits on at most `limit` labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, limit: int = 12_000, words: int = 4000, gain_least: float = 20.0) -> ToxicityModel:
+    """Fits on at most `limit` labelled documents outside the held-out fold.
+
+    words: how many words the model may weigh. They are chosen by counts made on the executors, and only their
+    presence comes to the driver.
+    """
     small_batches(docs.sparkSession)
-    chosen = sample(labels, "toxic", parts, held, limit)
-    rows = keyed(docs.join(F.broadcast(chosen), "doc_id").select("text", "label")).collect()  # at most `limit` rows
-    return fit_words([(y, np.frombuffer(k, "<i8")) for y, k in sorted((r["label"], bytes(r["keys"])) for r in rows)])
+    drawn = docs.join(F.broadcast(sample(labels, "toxic", parts, held, limit)), "doc_id").select("text", "label")
+    chosen = with_terms(telling(cut(counted(drawn)), words, gain_least))
+    rows = keyed(drawn, chosen).collect()  # at most `limit` rows of at most `words` keys and the terms
+    return fit_words([(y, np.frombuffer(k, "<i8")) for y, k in sorted((r["label"], bytes(r["keys"])) for r in rows)], chosen)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
