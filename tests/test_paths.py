@@ -125,3 +125,13 @@ def test_top_k(spark):
     assert [tuple(r) for r in S.rank_paths(paths, "file", 25).collect()] == [tuple(r) for r in every[:25]]
     assert S.rank_paths(paths, "file", 0).count() == 0
     assert S.top(S.scored(paths, "").withColumn("score", F.lit(1.0)), 3).count() == 3
+
+
+def test_toggle_pin(spark):
+    from pathloom.operators import history as H
+
+    log = spark.createDataFrame([("a", 5, 1, True), ("b", 7, 2, None)], "relative_path string, last_ms long, opens long, pinned boolean")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(H.toggle_pin(log, "b")) == [("a", 5, 1, True), ("b", 7, 2, True)]
+    assert got(H.toggle_pin(log, "a"))[0] == ("a", 5, 1, False)
+    assert got(H.toggle_pin(log.limit(0), "c")) == [("c", 0, 0, True)]
