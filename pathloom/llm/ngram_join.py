@@ -11,8 +11,9 @@ and empties out passages that many documents share.
 
 Links. In each list the first class is paired with all others, and pairs within the length bound are verified:
 each fragment counts the partial overlap of its pairs, and the sums decide. Of lists of up to LONG classes, all
-pairs between different components so found are then verified alike. Longer lists are joined to clusters, a
-cluster is cut into chunks, and each pair of chunks is a task that counts the partial overlaps of all its pairs
+pairs between different components so found are then verified alike. Classes on longer lists are listed anew by
+longer prefixes, of which more of the frequent n-grams may be dropped (adaptive prefixes, Wang et al. 2012), so
+sets that share no more than a passage part. Lists that are still longer are joined to clusters, a cluster is cut into chunks, and each pair of chunks is a task that counts the partial overlaps of all its pairs
 at once, fragment by fragment, and gives a spanning forest of the links; so neither the pairs of a large group
 are listed nor a link between components lost.
 
@@ -34,6 +35,8 @@ from .common import Forest, components, cut, free, partitions, size_class, small
 FACTORS = np.random.default_rng(31).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Share of a set by which prefixes are longer than one common n-gram asks for.
 SLACK = 0.07
+#: The same for classes on long lists; below the least share of common n-grams, so linked pairs still meet.
+WIDE = 0.5
 CHUNK = 400_000
 PAIRS_A_GROUP = 100_000
 #: Fragments in which overlaps are counted; pairs come in groups of bounded size, so these need not grow.
@@ -279,6 +282,17 @@ def block_links(members: DataFrame, segments: DataFrame, bounds: Bounds) -> Data
     return placed.join(segments, "cls").groupBy("cluster", "i", "j").applyInArrow(block, "a long, b long")
 
 
+def list_heads(posts: DataFrame) -> DataFrame:
+    """The first class and the size of each list of several classes; lists are told apart by round and n-gram."""
+    return posts.groupBy("r", "h").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+
+
+def star_pairs(posts: DataFrame, inside: str) -> DataFrame:
+    """Pairs (a, na, b, nb) of the first class of each list with the others, within the length bound."""
+    stars = posts.join(list_heads(posts), ["r", "h"]).select(F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    return stars.where("a <> b").where(inside).distinct()
+
+
 def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per row: documents link when den * intersection >= num * union."""
     spark = docs.sparkSession
@@ -293,11 +307,9 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     sets = profiles(docs, words, bounds).where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
     chosen = cut(kept_prefixes(sets, bounds, fragments))
     free(spark)
-    posts = chosen.select(F.explode("grams").alias("h"), "cls", "n")
+    posts = chosen.select(F.lit(1).alias("r"), F.explode("grams").alias("h"), "cls", "n")
     inside = f"na * {den} >= nb * {num} and nb * {den} >= na * {num}"
-    heads = posts.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    stars = posts.join(heads, "h").select(F.col("head.cls").alias("a"), F.col("head.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    stars = cut(stars.where("a <> b").where(inside).distinct())
+    stars = cut(star_pairs(posts, inside))
 
     def cut_up(batches):
         for batch in batches:
@@ -313,20 +325,32 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.join(chosen.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     segments = cut(texts.mapInArrow(cut_up, "cls long, f int, grams binary"))
     free(spark)
-    links = verified(stars, segments, bounds)
-    long = posts.join(heads.where(F.col("size") > LONG), "h").select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    if not long.isEmpty():
-        members = components(long, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(chosen.select("cls", "n"), "cls")
-        links = links.unionByName(block_links(members, segments, bounds))
-    links = cut(links)
+    links = cut(verified(stars, segments, bounds))
     free(spark)
+    far = cut(posts.join(list_heads(posts).where(F.col("size") > LONG), ["r", "h"], "left_semi").select(F.col("cls").alias("doc_id")).distinct())
+    if not far.isEmpty():
+        wide = Bounds(num, den, WIDE)
+        sets = profiles(docs.join(far, "doc_id", "left_semi"), words, wide).where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
+        again = cut(kept_prefixes(sets, wide, fragments)).select(F.lit(2).alias("r"), F.explode("grams").alias("h"), "cls", "n")
+        free(spark)
+        more = cut(star_pairs(again, inside).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+        stars = stars.unionByName(more)
+        links = links.unionByName(verified(more, segments, bounds))
+        heads = list_heads(again).where(F.col("size") > LONG)
+        long = again.join(heads, ["r", "h"]).select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        if not long.isEmpty():
+            members = components(long, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(chosen.select("cls", "n"), "cls")
+            links = links.unionByName(block_links(members, segments, bounds))
+        links = cut(links)
+        posts = posts.unionByName(again)
+        free(spark)
     first = components(links, "a", "b")
     labelled = posts.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(F.col("size") <= LONG).where("lo <> hi").select("h")
-    open_lists = cut(labelled.join(mixed, "h", "left_semi").select("h", "cls", "n", "label"))
-    a = open_lists.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = open_lists.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = a.join(b, "h").where("a < b and la <> lb").where(inside).select("a", "na", "b", "nb").distinct()
+    mixed = labelled.groupBy("r", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(F.col("size") <= LONG).where("lo <> hi").select("r", "h")
+    open_lists = cut(labelled.join(mixed, ["r", "h"], "left_semi").select("r", "h", "cls", "n", "label"))
+    a = open_lists.select("r", "h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = open_lists.select("r", "h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    rest = a.join(b, ["r", "h"]).where("a < b and la <> lb").where(inside).select("a", "na", "b", "nb").distinct()
     rest = cut(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     free(spark)
     if not rest.isEmpty():
