@@ -85,6 +85,36 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_a_dense_group(spark):
+    from pathloom.llm.pivots import near_vectors
+
+    rng = np.random.default_rng(4)
+
+    def around(centre, cos, m):
+        r = rng.normal(size=(m, 64))
+        r -= (r @ centre)[:, None] * centre
+        return cos * centre + math.sqrt(1 - cos * cos) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    tight, wide = (c / np.linalg.norm(c) for c in rng.normal(size=(2, 64)))
+    spread = around(wide, 0.92, 400)
+    x = np.concatenate([around(tight, 0.98, 3000), spread, spread + rng.normal(size=spread.shape) * 0.03, rng.normal(size=(5200, 64))]).astype(np.float32)
+    x = np.concatenate([x, x[:20]])
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(order, x.tolist())], "vec_id long, embedding array<float>").repartition(5)
+    got = {r["vec_id"]: r for r in near_vectors(df).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    assert len(got) == len(x) and [got[i]["n_links"] for i in order.tolist()] == (hit.sum(1) - 1).tolist()
+    label = order.copy()
+    while True:
+        new = np.array([label[h].min() for h in hit])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i]["component_id"] for i in order.tolist()] == label.tolist()
+
+
 def test_spotsigs(spark, docs, rows, empty):
     from pathloom.llm.spotsigs import near_duplicates, spotsigs_digest
 
