@@ -1,7 +1,8 @@
 """Toxicity: a logistic classifier on the presence of words and word beginnings, with a counterfactual penalty.
 
 For each labelled text that names a group, copies are made with its identity terms swapped for others of the
-same list, and the fit is charged for the square of the change in score. What a term alone adds to the score
+same list, with the beginnings of words that go and come with them, and the fit is charged for the square of the
+change in score. What a term alone adds to the score
 is so driven towards what every other term adds, and neutral mentions of a group stay low.
 
 Null and empty texts get the score of a text without known words. Words are compared in lower case; scoring
@@ -47,13 +48,34 @@ def key(word: str) -> int:
 BEGINNINGS = (3, 4, 5, 6, 7)
 
 
-def word_keys(text: str | None) -> set[int]:
-    """Keys of the distinct words of the text and of their beginnings."""
-    words = set(LETTERS.findall((text or "").lower()))
+TERMS = frozenset(t for group in IDENTITY_TERMS for t in group)
+
+
+def words_of(text: str | None) -> set[str]:
+    return set(LETTERS.findall((text or "").lower()))
+
+
+def keys_of(words: set[str]) -> set[int]:
+    """Keys of the words and of their beginnings."""
     begun = {w[:n] for n in BEGINNINGS for w in words if len(w) > n}
     return {key(w) for w in words} | {key("^" + b) for b in begun}
 
 
+def word_keys(text: str | None) -> set[int]:
+    """Keys of the distinct words of the text and of their beginnings."""
+    return keys_of(words_of(text))
+
+
+def own_keys(text: str | None) -> list[tuple[int, int]]:
+    """Key of each identity term in the text, with each key that the text has from no other word."""
+    words = words_of(text)
+    out = []
+    for t in sorted(words & TERMS):
+        alike = {w for w in words if w != t and w[: min(BEGINNINGS)] == t[: min(BEGINNINGS)]}
+        out += [(key(t), k) for k in sorted(keys_of({t}) - keys_of(alike))]
+    return out
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """key, df, df1: in how many texts each key is, and in how many toxic ones; under the null key, how many there are."""
 
@@ -82,14 +104,17 @@ def telling(counts: DataFrame, words: int, gain_least: float) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """label and which of the keys `chosen`, ascending, each text has."""
+    """label, which of the keys `chosen`, ascending, each text has, and its own_keys of them."""
+    known = set(chosen.tolist())
 
     def run(batches):
         for batch in batches:
-            keys = [np.intersect1d(np.fromiter(word_keys(t), np.int64), chosen, assume_unique=True).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.binary())], ["label", "keys"])
+            texts = batch.column(0).to_pylist()
+            keys = [np.intersect1d(np.fromiter(word_keys(t), np.int64), chosen, assume_unique=True).tobytes() for t in texts]
+            own = [np.array([p for p in own_keys(t) if p[1] in known], np.int64).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], ["label", "keys", "own"])
 
-    return docs.select("text", "label").mapInArrow(run, "label int, keys binary")
+    return docs.select("text", "label").mapInArrow(run, "label int, keys binary, own binary")
 
 
 class ToxicityModel:
@@ -105,21 +130,42 @@ def with_terms(chosen: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([chosen, np.array([key(t) for group in IDENTITY_TERMS for t in group], np.int64)]))
 
 
-def fit_words(rows: list[tuple[int, np.ndarray]], chosen: np.ndarray | None = None, l2: float = 0.01, fairness: float = 5.0) -> ToxicityModel:
-    """rows: label, which of the keys `chosen` the text has. chosen: ascending, with the identity terms; by default all keys of the rows."""
-    labels = np.array([y for y, _ in rows] or [0], np.float64)
-    doc = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
-    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(k, np.int64) for _, k in rows)])
+def counterfactuals(rows: list[tuple], at: dict[int, int]):
+    """Copies of the texts with a term swapped: the text of each, and its kind of change; of each kind, the columns that change, and by how much.
+
+    at: columns of the keys that count. A copy has the keys that all words but the term give, and those of the term put in.
+    """
+    keys = {key(t): keys_of({t}) & at.keys() for t in TERMS}
+    kinds = [[key(t) for t in group] for group in IDENTITY_TERMS]
+    others = {t: [u for u in group if u != t] for group in kinds for t in group}
+    text, change, changes = [], [], {}
+    for d, (_, has, *rest) in enumerate(rows):
+        has = set(np.asarray(has, np.int64).tolist())
+        # without a list of them, no other word is taken to give a term's beginnings
+        pairs = np.asarray(rest[0]).reshape(-1, 2).tolist() if rest else [(t, k) for t in others.keys() & has for k in keys[t] & has]
+        own = {}
+        for t, k in pairs:
+            own.setdefault(t, set()).add(k)
+        for t in sorted(own):
+            for u in others[t]:
+                text.append(d)
+                change.append(changes.setdefault((frozenset(own[t] - keys[u]), frozenset(keys[u] - has)), len(changes)))
+    parts = [(c, at[k], by) for (gone, put), c in changes.items() for ks, by in ((gone, -1.0), (put, 1.0)) for k in sorted(ks)]
+    of, column, by = (np.array(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+    return np.array(text, np.int64), np.array(change, np.int64), of, column, by, len(changes)
+
+
+def fit_words(rows: list[tuple], chosen: np.ndarray | None = None, l2: float = 0.01, fairness: float = 5.0) -> ToxicityModel:
+    """rows: label, which of the keys `chosen` the text has, and its own_keys of them as a flat array, which may lack.
+
+    chosen: ascending, with the identity terms; by default all keys of the rows.
+    """
+    labels = np.array([r[0] for r in rows] or [0], np.float64)
+    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r[1], np.int64) for r in rows)])
     chosen = with_terms(flat) if chosen is None else chosen
     column = np.searchsorted(chosen, flat)
-    terms = {key(t): kind for kind, group in enumerate(IDENTITY_TERMS) for t in group}
-    at = {int(k): i for i, k in enumerate(chosen)}
-    by_kind = [[at[key(t)] for t in group] for group in IDENTITY_TERMS]
-    # counterfactual copies, words as wholes: (text, term taken out, term put in)
-    term_kind = {at[k]: kind for k, kind in terms.items()}
-    names = np.isin(column, list(term_kind))
-    swaps = [(d, c, other) for d, c in zip(doc[names].tolist(), column[names].tolist()) for other in by_kind[term_kind[c]] if other != c]
-    sd, s_out, s_in = (np.array(x, np.int64) for x in zip(*swaps)) if swaps else (np.zeros(0, np.int64),) * 3
+    sd, change, of, changed, by, changes = counterfactuals(rows, {int(k): i for i, k in enumerate(chosen)})
     # a pseudo-negative empty text keeps the prior defined
     y = np.append(labels, 0.0) if len(rows) else np.array([0.0])
     rows_n = len(y)
@@ -132,12 +178,12 @@ def fit_words(rows: list[tuple[int, np.ndarray]], chosen: np.ndarray | None = No
         r = (p - y) / rows_n
         g = np.append(np.bincount(column, weights=r[doc], minlength=len(w)) + l2 * w / np.sqrt(rows_n), r.sum())
         if len(sd):
-            q = sigmoid(z[sd] - w[s_out] + w[s_in])
+            q = sigmoid(z[sd] + np.bincount(of, weights=by * w[changed], minlength=changes)[change])
             d = p[sd] - q
             value += fairness * np.mean(d * d)
             gp, gq = 2 * fairness * d * p[sd] * (1 - p[sd]) / len(sd), -2 * fairness * d * q * (1 - q) / len(sd)
             gz = np.bincount(sd, weights=gp + gq, minlength=rows_n)
-            g[:-1] += np.bincount(column, weights=gz[doc], minlength=len(w)) + np.bincount(s_in, weights=gq, minlength=len(w)) - np.bincount(s_out, weights=gq, minlength=len(w))
+            g[:-1] += np.bincount(column, weights=gz[doc], minlength=len(w)) + np.bincount(changed, weights=by * np.bincount(change, weights=gq, minlength=changes)[of], minlength=len(w))
             g[-1] += gz.sum()
         # terms that the sample never shows keep no weight of their own
         return value, g
@@ -156,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, limit
     drawn = docs.join(F.broadcast(sample(labels, "toxic", parts, held, limit)), "doc_id").select("text", "label")
     chosen = with_terms(telling(cut(counted(drawn)), words, gain_least))
     rows = keyed(drawn, chosen).collect()  # at most `limit` rows of at most `words` keys and the terms
-    return fit_words([(y, np.frombuffer(k, "<i8")) for y, k in sorted((r["label"], bytes(r["keys"])) for r in rows)], chosen)
+    return fit_words([(y, np.frombuffer(k, "<i8"), np.frombuffer(o, "<i8")) for y, k, o in sorted((r["label"], bytes(r["keys"]), bytes(r["own"])) for r in rows)], chosen)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:

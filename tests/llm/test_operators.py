@@ -195,6 +195,46 @@ def test_classifiers(spark, docs, rows, empty):
     assert gap[1] < gap[0] and key("gay") != key("straight") and IDENTITY_TERMS
 
 
+def test_counterfactuals(spark):
+    from pathloom.llm.toxicity import IDENTITY_TERMS, counterfactuals, fit, fit_words, keys_of, own_keys, word_keys
+
+    # a copy has the keys of the text with the other term in its place, also where other words begin alike
+    texts = ["the muslim people", "a Muslim and the muslims of muslimabad", "jewish muslim christmas", "nobody", None, "gay"]
+    some = sorted(set().union(*(word_keys(t) for t in texts), *(keys_of({t}) for group in IDENTITY_TERMS for t in group)))
+    text, change, of, column, by, n = counterfactuals([(0, sorted(word_keys(t)), np.array(own_keys(t)).ravel()) for t in texts], {k: i for i, k in enumerate(some)})
+    got = collections.Counter()
+    for d, c in zip(text.tolist(), change.tolist()):
+        has = dict.fromkeys(word_keys(texts[d]), 1.0)
+        for i in np.flatnonzero(of == c):
+            k = some[int(column[i])]
+            has[k] = has.get(k, 0.0) + by[i]
+        assert set(has.values()) <= {0.0, 1.0}
+        got[d, frozenset(k for k, v in has.items() if v)] += 1
+    want = collections.Counter()
+    for d, t in enumerate(texts):
+        words = set(re.findall(r"\w+", (t or "").lower()))
+        for group in IDENTITY_TERMS:
+            for w in words & set(group):
+                for other in set(group) - {w}:
+                    want[d, frozenset(keys_of(words - {w} | {other}))] += 1
+    assert got == want and n <= len(text)
+    # scores of neutral sentences, for terms that toxic texts name far more or less often
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        who = rng.choice(["muslim", "jewish", "christian"], p=[0.9, 0.05, 0.05] if toxic else [0.1, 0.45, 0.45])
+        more = " ".join(f"w{chr(97 + j)}" for j in rng.integers(0, 26, 4))
+        rows.append((i, f"the {who} people {'are vermin' if toxic and i % 2 else 'met'} {more}", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    scores = [model.score(f"the {w} people") for w in ("muslim", "jewish", "christian", "hindu")]
+    assert max(scores) - min(scores) < 0.4 and model.score("the jewish people are vermin") > max(scores) + 0.2  # 0.81 with words alone swapped
+    strict = fit_words([(y, sorted(word_keys(t)), np.array(own_keys(t)).ravel()) for _, t, y in rows], fairness=50.0)
+    scores = [strict.score(f"the {w} people") for w in ("muslim", "jewish", "christian", "hindu")]
+    assert max(scores) - min(scores) < 0.1 and strict.score("the jewish people are vermin") > max(scores) + 0.2
+
+
 def test_pack(spark, docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
