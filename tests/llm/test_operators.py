@@ -322,3 +322,118 @@ def test_pipeline(spark, docs, tmp_path):
     docs.drop("part", "slot", "size").withColumn("n_chars", F.length("text").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
     out = P.run(spark, str(tmp_path)).collect()
     assert out and {"doc_id", "piece", "sequence_id", "offset"} <= set(out[0].asDict())
+
+
+def plain_near_copies(rows):
+    """rows less those that link with one of a smaller id, by word 5-grams at 80 %, through links."""
+    sets = {}
+    for r in rows:
+        w = split(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    label = {a: a for a in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
+
+
+def plain_repeats(rows):
+    """rows with what an earlier document has too, 50 bytes at least, cut out of text."""
+    seen, out = {}, []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        b = (r["text"] or "").encode()
+        gone, own = np.zeros(len(b), bool), [b[p : p + 50] for p in range(len(b) - 49)]
+        for p, w in enumerate(own):
+            if w in seen:
+                gone[p : p + 50] = True
+        seen.update(dict.fromkeys(own))
+        text = np.frombuffer(b, np.uint8)[~gone].tobytes().decode()
+        out.append({**r, "text": text, "n_chars": len(text)} if gone.any() else r)
+    return out
+
+
+def plain_mix(rows):
+    """rows as often as the mix takes at least half of them: weights 3, 1, 2 over the sources, 1.5 times all words, two passes at most."""
+    size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in rows}
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    full = set()
+    while True:
+        t = (1.5 * sum(total.values()) - sum(2 * total[s] for s in full)) / sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if weight[s] * t > 2 * total[s]}
+        if more <= full:
+            break
+        full |= more
+    out = []
+    for s in sources:
+        at, target = 0, math.floor(min(weight[s] * t, 2 * total[s]) + 1e-9)
+        queue = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], r["doc_id"]))
+        for r in queue * 2:
+            given = max(0, min(size[r["doc_id"]], target - at))
+            at += size[r["doc_id"]]
+            if given and 2 * given >= size[r["doc_id"]]:
+                out.append(r)
+    return out
+
+
+def test_stages(spark, rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from pathloom.llm import toxicity
+
+    made = [(r[0], r[1], r[2]) for r in rows]
+    made += [(1000 + i, f"{t} vermin scum" if i % 3 == 0 else t, f"s{i % 4}") for i, t in enumerate(x for x in texts()[9:] for _ in range(2))]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(d, 1, int("vermin" in (t or ""))) for d, t, _ in made], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, labels)
+    plain = [lambda rs: [r for r in rs if model.score(r["text"]) < 0.3], plain_near_copies, plain_repeats, plain_mix]
+
+    def same(rs):
+        return sorted(map(repr, (tuple(r.items()) for r in rs)))
+
+    now = [r.asDict() for r in docs.collect()]
+    for (name, stage), f in zip(P.STAGES, plain):
+        want = f(now)
+        before = spark.createDataFrame([tuple(r.values()) for r in now], docs.schema)
+        got = [r.asDict() for r in stage(spark, before, str(tmp_path)).collect()]
+        assert same(got) == same(want) != same(now), name
+        now = want
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = collections.Counter()
+    for r in now:
+        ids = [*tokens.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 2048):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[r["doc_id"], at // 2048, len(part), zlib.crc32(part.tobytes())] += 1
+    got = collections.Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in P.run(spark, str(tmp_path)).collect())
+    assert got == want
+
+
+def test_near_duplicates(spark, rows):
+    from pathloom.llm.spotsigs import near_duplicates, signatures
+
+    rng = np.random.default_rng(8)
+    made = [(r[0], r[1]) for r in rows]
+    for i in range(6):
+        base = [w for j in rng.integers(0, 500, 60) for w in ("the", f"n{j}", f"m{j}")]
+        for changes in (0, 0, 1, 2, 3, 4, 6, 9):  # likeness on both sides of 0.8
+            words = list(base)
+            for at in rng.integers(0, 60, changes):
+                words[3 * at + 1] = f"z{rng.integers(0, 10**6)}"
+            made.append((1000 + len(made), " ".join(words[: len(words) - 3 * int(rng.integers(0, 6))])))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    sets = {r[0]: frozenset(r[1]) for r in docs.select("doc_id", signatures("text")).collect()}
+    name = {s: min(d for d in sets if sets[d] == s) for s in sets.values()}
+    label = {n: n for n in name.values()}
+    links = [(name[a], name[b]) for a in name for b in name if a and b and len(a & b) / len(a | b) >= 0.8]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: (r["class_id"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == {d: (name[s], label[name[s]]) for d, s in sets.items()} and any(a != b for a, b in links)
