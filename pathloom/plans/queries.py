@@ -259,6 +259,38 @@ def suffix_ambiguous(spark, sf_dir):
     return R.directory_by_suffix(C.part_paths(spark, sf_dir), "x/economy").select("relative_path")
 
 
+#: Directories three deep under one root: chains of type and brand end one of them, chains of brand and size often several.
+NESTED = """levels AS (SELECT DISTINCT lower(p_type) || '/' || lower(p_brand) AS one, lower(p_brand) || '/size-' || p_size AS leaf, lower(p_type) AS type FROM part),
+dirs AS (SELECT DISTINCT 'shop/' || one AS norm_path FROM levels UNION SELECT 'shop/' || type || '/' || leaf FROM levels)"""
+SUFFIX_SQL = "WITH {nested}, typed AS ({typed}), ends AS (SELECT norm_path FROM dirs, typed WHERE ends_with(norm_path, '/' || chain)) SELECT norm_path FROM ends WHERE (SELECT count(*) FROM ends) = 1"
+
+
+def nested_paths(spark, sf_dir):
+    p = C.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("shop/"), "p_type", F.lit("/"), "p_brand", F.lit("/size-"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".item"))
+    files = p.select(F.col("p_partkey").alias("seq"), F.lit("shops").alias("workspace"), F.lit("file").alias("kind"), path.alias("relative_path"))
+    dirs = files.select("workspace", F.explode(ancestors(F.col("relative_path"))).alias("relative_path")).distinct()
+    return C.with_normal(files.unionByName(dirs.select(F.lit(-1).cast("long").alias("seq"), "workspace", F.lit("directory").alias("kind"), "relative_path")))
+
+
+def nested_chain(paths, depth, least):
+    """The first chain of the last two names that at least `least` directories of a depth end with."""
+    chain = F.regexp_extract("norm_path", "([^/]+/[^/]+)$", 1)
+    return paths.where((F.col("kind") == "directory") & (F.col("depth") == depth)).groupBy(chain.alias("chain")).count().where(F.col("count") >= least).agg(F.min("chain")).first()[0]
+
+
+@query("suffix_match_one", SUFFIX_SQL.format(nested=NESTED, typed="SELECT min(one) AS chain FROM levels"))
+def suffix_match_one(spark, sf_dir):
+    paths = nested_paths(spark, sf_dir)
+    return R.directory_by_suffix(paths, nested_chain(paths, 3, 1)).select("norm_path")
+
+
+@query("suffix_match_several", SUFFIX_SQL.format(nested=NESTED, typed="SELECT min(leaf) AS chain FROM (SELECT leaf FROM levels GROUP BY leaf HAVING count(*) > 1)"))
+def suffix_match_several(spark, sf_dir):
+    paths = nested_paths(spark, sf_dir)
+    return R.directory_by_suffix(paths, nested_chain(paths, 4, 2)).select("norm_path")
+
+
 CHANGES = f"""{FILES}, changed AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS change, f.relative_path FROM events, (SELECT count(*) AS n FROM part) JOIN files f ON f.seq = event_id % n WHERE event_type IN ('error', 'signup')),
 last AS (SELECT relative_path, max_by(change, seq) AS change, max(seq) AS seq FROM changed GROUP BY relative_path)"""
 #: The stream and the batch start from the files of an even part number.

@@ -135,3 +135,19 @@ def test_toggle_pin(spark):
     assert got(H.toggle_pin(log, "b")) == [("a", 5, 1, True), ("b", 7, 2, True)]
     assert got(H.toggle_pin(log, "a"))[0] == ("a", 5, 1, False)
     assert got(H.toggle_pin(log.limit(0), "c")) == [("c", 0, 0, True)]
+
+
+def test_suffix_queries(spark, monkeypatch):
+    import duckdb
+
+    from pathloom.operators import retrieve as R
+    from pathloom.plans import queries as Q
+
+    where = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{where}/part.parquet'")
+    got = {n: [r[0] for r in Q.QUERIES[n](spark, where).collect()] for n in ("suffix_match_one", "suffix_match_several")}
+    assert got == {n: [r[0] for r in duckdb.sql(Q.SQL[n]).fetchall()] for n in got}
+    assert len(got["suffix_match_one"]) == 1 and not got["suffix_match_several"]
+    # an operator that never sees ambiguity is told apart
+    monkeypatch.setattr(R, "directory_by_suffix", lambda paths, q: paths.where((F.col("kind") == "directory") & F.col("norm_path").endswith("/" + q)))
+    assert Q.QUERIES["suffix_match_several"](spark, where).count() > 1
