@@ -1,18 +1,23 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is of pairs of words, smoothed towards single words: P(w|h) = (c(hw) + mu P(w)) / (c(h) + mu) with
-P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). As an automaton, each word h is a state with an arc for each seen
-pair hw, and a failure arc of weight mu / (c(h) + mu) to the root, whose arcs are the single words; a text is
-walked once from left to right, the state being the word before.
-
-Counts are gathered from all training texts and no task or broadcast holds them all. Documents are dealt into
-blocks of bounded size by a hash of their id. Each block sends what it counted, one row a block and fragment of
-the hash space, so a word that is everywhere costs one entry a block; a fragment adds up and answers each block
-with the totals that differ from the block's own. Each block then builds the part of the automaton that its
-texts can reach, and walks them. Pairs are told apart by 40 bits and their fragment, words by 64 bits.
-
-Null and empty texts have one token, the end. Equal rows score alike and are all counted. An empty table gives
-no row. Columns besides doc_id and text are not read.
+The model is of n-grams up to `order` words, each smoothed towards the next shorter: P(w|hs) =
+(c(hsw) + mu P(w|s)) / (c(hs) + mu), where s is h's rest without its first word, down to P(w) =
+(c(w) + 0.1) / (N + 0.1 (V + 1)). As an automaton, each seen sequence of less than `order` words is a state. It
+has an arc for each seen n-gram that continues it, weighted with the n-gram's smoothed probability, to the
+longest state that the n-gram ends in; and a failure arc, weighted with mu / (c(h) + mu), to the state without
+its first word; the root has arcs for all words. A text is walked once from left to right: the state is carried
+from word to word, and where it has no arc for a word, failure arcs are followed and their weights added until a
+state has one. All texts of a block walk at once, place by place of the failure chain.
+
+Counts are gathered from all training texts and no task or broadcast holds them all. Documents are put into
+blocks of bounded size. Each block sends what it counted, one row a block and fragment of the hash space, so a
+word that is everywhere costs one entry a block; a fragment adds up and answers each block, in the order of what
+it sent, with the totals that differ from the block's own and with its share of N and V. Each block then builds
+the part of the automaton that its texts can reach, and walks them. Words and n-grams are told apart by 64 bits.
+
+Null and empty texts have one token, the end. Texts without an id train and are not held out. Equal rows score
+alike and are all counted. A text longer than a block is a block of its own. An empty table gives no row. Columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,167 +27,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocked, squeezed, stretched, unblocked
 from .bytewords import mix, word_hashes
-from .common import cut, free, partitions, size_class, small_batches
+from .common import partitions, size_class, small_batches
 from .linear import fold
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+#: Bytes of text whose entries a fragment of the hash space gathers, about.
+FRAGMENT_BYTES = 24 << 20
+ORDER = 3
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
-WORDS, PAIRS, TOTALS = 0, 1, 2
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def spread_slots(docs: DataFrame, n: int) -> list[int]:
-    """n numbers that hash partitioning puts into n different partitions."""
-    spark = docs.sparkSession
-    seen: dict[int, int] = {}
-    lo = 0
-    while len(seen) < n:
-        part = spark.range(lo, lo + 16 * n).select(F.col("id").cast("int").alias("id"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"))
-        for r in part.groupBy("p").agg(F.min("id").alias("id")).collect():
-            seen.setdefault(r["p"], r["id"])
-        lo += 16 * n
-    return [seen[p] for p in range(n)]
-
-
-def tokens(texts: list[bytes], train: np.ndarray, fragments: int) -> tuple[np.ndarray, ...]:
-    """Words with each text's end, the state before each, the pair ids, text numbers, and whether the text trains."""
+def ngrams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each m up to `order`, the ids of the m-grams that end at each token; tokens of each text, and each token's place in its text.
+
+    A text is its words and an end, and begins after a start. The m-gram at place p exists where p >= m - 2.
+    """
     hashes, counts = word_hashes(texts)
     ends = np.cumsum(counts + 1) - 1
     word = np.empty(len(hashes) + len(texts), np.uint64)
     is_end = np.zeros(len(word), bool)
     is_end[ends] = True
     word[is_end], word[~is_end] = END, hashes
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[ends - counts] = START
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
-    pair = (fragment_of(pair, fragments) << np.uint64(40)) | ((pair >> np.uint64(4)) & np.uint64((1 << 40) - 1))
-    text = np.repeat(np.arange(len(texts)), counts + 1)
-    return word, before, pair, text, train[text], counts + 1
-
-
-def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
-    return ((h >> np.uint64(44)) * np.uint64(fragments)) >> np.uint64(20)
-
-
-def counted(ids: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often they occur in training texts."""
-    order = np.argsort(ids, kind="stable")
-    ids, train = ids[order], train[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    return ids[first], np.add.reduceat(train.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
-
-
-def pack_ids(kind: int, ids: np.ndarray) -> bytes:
-    if kind == WORDS:
-        return ids.astype("<u8").tobytes()
-    return (ids & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((ids >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes()
-
-
-def unpack_ids(kind: int, fragment: int, raw: bytes) -> np.ndarray:
-    if kind == WORDS:
-        return np.frombuffer(raw, "<u8")
-    n = len(raw) // 5
-    low, high = np.frombuffer(raw, "<u4", n).astype(np.uint64), np.frombuffer(raw, "u1", n, 4 * n).astype(np.uint64)
-    return (np.uint64(fragment) << np.uint64(40)) | (high << np.uint64(32)) | low
-
-
-def score(docs: DataFrame, parts: int = 10, held: int = 0, mu: float = 25.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    place = np.arange(len(word), dtype=np.int64) - np.repeat(ends - counts, counts + 1)
+    grams, before = [word], np.where(place == 0, START, np.roll(word, 1))
+    for _ in range(1, order):
+        grams.append(mix(before * STEP + word))
+        before = np.roll(grams[-1], 1)
+    return grams, counts + 1, place
+
+
+def counted(ids: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, how often they occur in training texts, and where each id is among them."""
+    distinct, at = np.unique(ids, return_inverse=True)
+    return distinct, np.bincount(at[train], minlength=len(distinct)).astype(np.uint64), at.astype(np.int32)
+
+
+def fragment_cuts(ids: np.ndarray, fragments: int) -> np.ndarray:
+    """Where each fragment of the hash space starts in ascending ids, and the end."""
+    return np.searchsorted(((ids >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
+
+
+class Block:
+    """The texts of a block, and of each order m its distinct m-grams, their counts, and which is where."""
+
+    def __init__(self, rows: bytes, order: int):
+        self.rows = unblocked(rows)
+        grams, self.sizes, self.place = ngrams(self.rows.column("text").to_pylist(), order)
+        trains = np.repeat(~self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+        self.ids, self.counts, self.at = [], [], []
+        for m in range(order):
+            real = self.place >= m - 1
+            ids, n, at = counted(grams[m][real], trains[real])
+            grams[m] = None
+            full = np.full(len(real), -1, np.int32)
+            full[real] = at
+            self.ids.append(ids)
+            self.counts.append(n)
+            self.at.append(full)
+
+
+class Automaton:
+    """What texts of a block can reach: counts[m]: totals of the m-grams; at[m]: the (m + 1)-gram that ends at each place, -1 for none."""
+
+    def __init__(self, counts: list[np.ndarray], at: list[np.ndarray], place: np.ndarray, starts: int, n: int, v: int, mu: float):
+        self.c = [np.where(a >= 0, c[a], 0).astype(np.float64) if len(c) else np.zeros(len(a)) for c, a in zip(counts, at)]
+        p = (self.c[0] + 0.1) / (n + 0.1 * (v + 1))
+        self.arcs, self.fails, self.states = [np.log10(p)], [], []  # the root's arcs
+        for m in range(1, len(counts)):
+            # the state of m words that is before each place: how often it was seen
+            h = np.where(place == 0, starts if m == 1 else 0, np.roll(self.c[m - 1], 1))
+            p = (self.c[m] + mu * p) / (h + mu)
+            self.arcs.append(np.log10(p))
+            self.fails.append(np.log10(mu / (h + mu)))
+            self.states.append(h > 0)
+
+    def walk(self) -> np.ndarray:
+        """The log-probability of each token from the state that the walk is in there."""
+        level = np.zeros(len(self.arcs[0]), np.int8)  # words of the state that is carried to each place
+        for there in self.states:
+            level += there
+        out = np.zeros(len(level))
+        for m in range(len(self.arcs) - 1, 0, -1):
+            here = level == m
+            arc = here & (self.c[m] > 0)
+            out[arc] += self.arcs[m][arc]
+            level[arc] = -1
+            fail = here & ~arc
+            out[fail] += self.fails[m - 1][fail]
+            level[fail] = m - 1
+        root = level == 0
+        out[root] += self.arcs[0][root]
+        return out
+
+
+def score(docs: DataFrame, parts: int = 10, held: int = 0, mu: float = 25.0, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size_class(size, block_bytes, partitions(spark))
-    fragments = blocks
-    slots = F.array(*map(F.lit, spread_slots(docs, blocks)))
+    n_parts = size_class(size, block_bytes, partitions(spark))
+    fragments = size_class(size, FRAGMENT_BYTES, partitions(spark))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), (fold("doc_id", parts) == held).alias("held_out"), F.element_at(slots, F.expr(f"pmod(xxhash64(doc_id), {blocks}) + 1").cast("int")).alias("slot"))
-    dealt = dealt.withColumn("held_out", F.coalesce("held_out", F.lit(False))).repartition(blocks, "slot")
+    held_out = F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out)
+    blocks = blocked(rows, block_bytes).repartition(n_parts, "block")
 
     def send(batches):
-        held_back: dict[int, list] = {}
-
-        def flush(slot):
-            got = held_back.pop(slot)
-            for kind, place in ((WORDS, 0), (PAIRS, 1)):
-                ids, n = counted(np.concatenate([g[place] for g in got]), np.concatenate([g[2] for g in got]))
-                part = fragment_of(ids, fragments) if kind == WORDS else ids >> np.uint64(40)
-                cuts = np.searchsorted(part, np.arange(fragments + 1, dtype=np.uint64))
-                rows = [(f, pack_ids(kind, ids[a:b]), n[a:b].astype("<u4").tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                for lo in range(0, len(rows), 64):
-                    f, i, c = zip(*rows[lo : lo + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(f), pa.int32()), pa.array(f, pa.int32()), pa.array([slot] * len(f), pa.int32()), pa.array(i, pa.binary()), pa.array(c, pa.binary())], ["kind", "fragment", "slot", "ids", "counts"])
-
         for batch in batches:
-            slot_of = batch.column(2).to_numpy()
-            texts, train = batch.column(0).to_pylist(), ~np.array(batch.column(1).to_pylist(), bool)
-            for slot in np.unique(slot_of).tolist():
-                index = np.flatnonzero(slot_of == slot)
-                word, _, pair, _, trains, _ = tokens([texts[i] for i in index], train[index], fragments)
-                held_back.setdefault(slot, []).append((word, pair, trains))
-                if sum(len(g[0]) for g in held_back[slot]) > 6_000_000:
-                    yield from flush(slot)
-            while sum(len(g[0]) for gs in held_back.values() for g in gs) > 8_000_000:
-                yield from flush(max(held_back, key=lambda s: sum(len(g[0]) for g in held_back[s])))
-        for slot in list(held_back):
-            yield from flush(slot)
-
-    sent = dealt.select("text", "held_out", "slot").mapInArrow(send, "kind int, fragment int, slot int, ids binary, counts binary")
-
-    def answer(rows: pa.Table) -> pa.Table:
-        kind, fragment = rows.column("kind")[0].as_py(), rows.column("fragment")[0].as_py()
-        slot_ids = rows.column("slot").to_pylist()
-        ids = [unpack_ids(kind, fragment, x) for x in rows.column("ids").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
-        slot = np.repeat(np.array(slot_ids, np.int32), [len(x) for x in ids])
-        ids = np.concatenate(ids)
-        order = np.lexsort((slot, ids)) if len(set(slot_ids)) < len(slot_ids) else np.argsort(ids, kind="stable")
-        ids, n, slot = ids[order], n[order], slot[order]
-        new = np.concatenate([[True], ids[1:] != ids[:-1]])
-        total = np.add.reduceat(n, np.flatnonzero(new))
-        every = total[np.cumsum(new) - 1]
-        differs = np.flatnonzero(every != n)
-        by = differs[np.argsort(slot[differs], kind="stable")]
-        out_slot, at = np.unique(slot[by], return_index=True)
-        bounds = np.append(at, len(by))
-        answers = [(int(s), pack_ids(kind, ids[by[a:b]]), every[by[a:b]].astype("<i8").tobytes()) for s, a, b in zip(out_slot, bounds[:-1], bounds[1:])]
-        got = [(s, kind, fragment, i, c, 0, 0) for s, i, c in answers]
-        got.append((-1, TOTALS, fragment, b"", b"", int(total.sum()) if kind == WORDS else 0, int((total > 0).sum()) if kind == WORDS else 0))
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), types)], ["slot", "kind", "fragment", "ids", "totals", "n", "v"])
-
-    answers = cut(sent.groupBy("kind", "fragment").applyInArrow(answer, "slot int, kind int, fragment int, ids binary, totals binary, n long, v long"))
-    free(spark)
-    n, v = answers.where(f"kind = {TOTALS}").agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(n or 0), int(v or 0)
-    start_count = int(docs.where(F.coalesce(fold("doc_id", parts) != held, F.lit(True))).count())
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                b = Block(raw, order)
+                cuts = [fragment_cuts(ids, fragments) for ids in b.ids]
+                for lo in range(0, fragments, 64):
+                    some = range(lo, min(lo + 64, fragments))
+                    sent = [[x for ids, n, at in zip(b.ids, b.counts, cuts) for x in (squeezed(ids[at[f] : at[f + 1]], True), squeezed(n[at[f] : at[f + 1]]))] for f in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some)), pa.array(sent, pa.list_(pa.binary()))], ["fragment", "block", "sent"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        sent, n, v = t.column("sent").to_pylist(), 0, 0
+        replies = [[] for _ in sent]
+        for m in range(order):
+            ids = [stretched(s[2 * m], True) for s in sent]
+            own = np.concatenate([stretched(s[2 * m + 1]) for s in sent])
+            ends = np.cumsum([len(x) for x in ids])
+            order_of = np.argsort(ids := np.concatenate(ids), kind="stable")
+            new = np.concatenate([[True], np.diff(ids[order_of]) > 0])[: len(ids)]
+            sums = np.add.reduceat(own[order_of], np.flatnonzero(new)) if len(ids) else own
+            total = np.empty_like(own)
+            total[order_of] = sums[np.cumsum(new) - 1] if len(ids) else own
+            if m == 0:
+                n, v = int(sums.sum()), int((sums > 0).sum())
+            for reply, lo, hi in zip(replies, np.concatenate([[0], ends[:-1]]), ends):
+                differs = total[lo:hi] != own[lo:hi]
+                reply += [np.packbits(differs).tobytes(), squeezed(total[lo:hi][differs])]
+        k = len(sent)
+        return pa.Table.from_arrays([t.column("block"), t.column("fragment"), pa.array([n] * k), pa.array([v] * k), pa.array(replies, pa.list_(pa.binary()))], ["block", "fragment", "n", "v", "reply"])
+
+    sent = blocks.mapInArrow(send, "fragment int, block long, sent array<binary>").repartition(fragments, "fragment")
+    answers = sent.groupBy("fragment").applyInArrow(answer, "block long, fragment int, n long, v long, reply array<binary>")
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        held_out = np.array(left.column("held_out").to_pylist(), bool)
-        word, before, pair, text, trains, n_tokens = tokens(texts, ~held_out, fragments)
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for kind, ids in ((WORDS, word), (PAIRS, pair)):
-            uniq, count = counted(ids, trains)
-            count = count.astype(np.int64)
-            for k, f, i, c in zip(*(right.column(x).to_pylist() for x in ("kind", "fragment", "ids", "totals"))):
-                if k == kind:
-                    at = np.searchsorted(uniq, unpack_ids(kind, f, i))
-                    count[at] = np.frombuffer(c, "<i8")
-            known[kind] = uniq, count
-        words, c_word = known[WORDS]
-        root = np.log10((c_word + 0.1) / (n + 0.1 * (v + 1)))  # the root's arcs
-        w = np.searchsorted(words, word)
-        base = root[w]
-        # each state's count, and its failure arc
-        h = np.where(before == START, start_count, c_word[np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0))]) if len(words) else np.zeros(0)
-        fail = np.log10(mu / (h + mu))
-        pairs, c_pair = known[PAIRS]
-        c = c_pair[np.searchsorted(pairs, pair)] if len(pairs) else np.zeros(0)
-        arc = np.where(c > 0, np.log10((c + mu * 10.0**base) / (h + mu)), fail + base)
-        add = lambda x: np.bincount(text, weights=x, minlength=len(texts))
-        known_n = add((c_word[w] > 0).astype(float)).astype(np.int64)
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(held_out), pa.array(n_tokens.astype(np.int64)), pa.array(known_n), pa.array(np.full(len(texts), n, np.int64)), pa.array(add(base)), pa.array(add(arc))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    walked = dealt.groupBy("slot").cogroup(answers.where(f"kind <> {TOTALS}").repartition(blocks, "slot").groupBy("slot"))
+        b = Block(left.column("rows")[0].as_py(), order)
+        n, v = (int(right.column(c).to_numpy().sum()) for c in ("n", "v"))  # every fragment answers every block
+        replies, f = right.column("reply").to_pylist(), right.column("fragment").to_numpy()
+        for m in range(order):
+            cuts = fragment_cuts(b.ids[m], fragments)
+            for k, reply in zip(f.tolist(), replies):
+                differs = np.unpackbits(np.frombuffer(reply[2 * m], np.uint8), count=cuts[k + 1] - cuts[k]).astype(bool)
+                b.counts[m][cuts[k] : cuts[k + 1]][differs] = stretched(reply[2 * m + 1])
+        starts = int(b.counts[0][np.searchsorted(b.ids[0], END)])  # as many texts start as end
+        b.ids = None
+        model = Automaton(b.counts, b.at, b.place, starts, n, v, mu)
+        text = np.repeat(np.arange(len(b.sizes)), b.sizes)
+        add = lambda x: pa.array(np.bincount(text, weights=x, minlength=len(b.sizes)))
+        known = add(model.c[0] > 0).cast(pa.int64())
+        columns = [b.rows.column("doc_id"), b.rows.column("held_out"), pa.array(b.sizes.astype(np.int64)), known, pa.array(np.full(len(b.sizes), n, np.int64)), add(model.arcs[0]), add(model.walk())]
+        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    walked = blocks.groupBy("block").cogroup(answers.repartition(n_parts, "block").groupBy("block"))
     return walked.applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .bytewords import Powers, byte_salt, mix, sums
 from .common import cut, free, kept, partitions, size_class, small_batches, steps
-from .lm import fragment_of, pack_ids, spread_slots, unpack_ids
 from .runindex import RunIndex
 
 DEPTH = 50
@@ -36,6 +35,34 @@ TOP = np.uint64(2**64 - 1)
 NO_ID = 2**63 - 1
 
 
+def spread_slots(docs: DataFrame, n: int) -> list[int]:
+    """n numbers that hash partitioning puts into n different partitions."""
+    spark = docs.sparkSession
+    seen: dict[int, int] = {}
+    lo = 0
+    while len(seen) < n:
+        part = spark.range(lo, lo + 16 * n).select(F.col("id").cast("int").alias("id"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p"))
+        for r in part.groupBy("p").agg(F.min("id").alias("id")).collect():
+            seen.setdefault(r["p"], r["id"])
+        lo += 16 * n
+    return [seen[p] for p in range(n)]
+
+
+def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
+    return ((h >> np.uint64(44)) * np.uint64(fragments)) >> np.uint64(20)
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """40 bits of each id; the others are its fragment."""
+    return (ids & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((ids >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes()
+
+
+def unpack_ids(fragment: int, raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    low, high = np.frombuffer(raw, "<u4", n).astype(np.uint64), np.frombuffer(raw, "u1", n, 4 * n).astype(np.uint64)
+    return (np.uint64(fragment) << np.uint64(40)) | (high << np.uint64(32)) | low
+
+
 def sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over each n in a row."""
     out, width = x, 1
@@ -131,7 +158,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
             several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) if len(first) else np.zeros(0, bool)
             ids = ids[first]
             cuts = np.searchsorted(ids >> np.uint64(40), np.arange(fragments + 1, dtype=np.uint64))
-            rows = [(f, slot, pack_ids(1, ids[a:b]), np.packbits(several[a:b]).tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows = [(f, slot, pack_ids(ids[a:b]), np.packbits(several[a:b]).tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["fragment", "slot", "ids", "several"])
 
@@ -139,7 +166,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
 
     def answer(rows: pa.Table) -> pa.Table:
         f, slots_of = rows.column("fragment")[0].as_py(), rows.column("slot").to_pylist()
-        ids = [unpack_ids(1, f, x) for x in rows.column("ids").to_pylist()]
+        ids = [unpack_ids(f, x) for x in rows.column("ids").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(i)).astype(bool) for x, i in zip(rows.column("several").to_pylist(), ids)])
         slot = np.repeat(np.array(slots_of, np.int32), [len(x) for x in ids])
         ids = np.concatenate(ids)
@@ -152,7 +179,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
         by = by[np.argsort(slot[by], kind="stable")]
         to, at = np.unique(slot[by], return_index=True)
         cuts = np.append(at, len(by))
-        return pa.Table.from_arrays([pa.array(to, pa.int32()), pa.array([f] * len(to), pa.int32()), pa.array([pack_ids(1, ids[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.array(np.diff(cuts), pa.int64())], ["slot", "fragment", "ids", "n"])
+        return pa.Table.from_arrays([pa.array(to, pa.int32()), pa.array([f] * len(to), pa.int32()), pa.array([pack_ids(ids[by[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.array(np.diff(cuts), pa.int64())], ["slot", "fragment", "ids", "n"])
 
     shared = cut(sent.groupBy("fragment").applyInArrow(answer, "slot int, fragment int, ids binary, n long"))
     free(spark)
@@ -165,7 +192,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
         index, right = fresh(left, right) if left.num_rows else (np.zeros(0, np.int64), right)
         if len(index) and right.num_rows:
             slot = left.column("slot")[0].as_py()
-            wanted = np.unique(np.concatenate([unpack_ids(1, f, x) for f, x in zip(right.column("fragment").to_pylist(), right.column("ids").to_pylist())]))
+            wanted = np.unique(np.concatenate([unpack_ids(f, x) for f, x in zip(right.column("fragment").to_pylist(), right.column("ids").to_pylist())]))
             docs_of, texts = left.column("doc_id").to_numpy()[index], left.column("text")
             lengths = left.column("size").to_numpy()[index]
             found = []

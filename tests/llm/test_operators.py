@@ -280,24 +280,49 @@ def test_urls(spark):
     assert judge(df.limit(0), rules).count() == 0
 
 
-def test_lm(spark, docs, rows, empty):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm(spark, docs, rows, empty, order):
     from pathloom.llm.lm import score
 
-    got = {r["doc_id"]: r for r in score(docs, block_bytes=2000).collect()}
-    toks = {r[0]: [*split(r[1]), "</s>"] for r in rows}
+    got = {r["doc_id"]: r for r in score(docs, order=order, block_bytes=2000).collect()}
+    toks = {r[0]: ["<s>", *split(r[1]), "</s>"] for r in rows}
     train = [d for d in toks if zlib.crc32(str(d).encode()) % 10]
-    c = collections.Counter(w for d in train for w in toks[d])
-    pairs = collections.Counter(p for d in train for p in zip(["<s>", *toks[d]], toks[d]))
-    n, v, mu = sum(c.values()), len(c), 25.0
+    c = collections.Counter(tuple(toks[d][i : i + m]) for d in train for m in range(1, order + 1) for i in range(len(toks[d]) - m + 1))
+    n, v, mu = sum(len(toks[d]) - 1 for d in train), len({w for d in train for w in toks[d][1:]}), 25.0
+
+    def walk(words):
+        """A plain automaton: from the longest state along failure arcs to the first that has an arc for the word."""
+
+        def smoothed(h, w):
+            if not h:
+                return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+            return (c[(*h, w)] + mu * smoothed(h[1:], w)) / (c[h] + mu)
+
+        total, state = 0.0, (words[0],) if order > 1 else ()
+        for w in words[1:]:
+            while state and not c[(*state, w)]:
+                total += math.log10(mu / (c[state] + mu))
+                state = state[1:]
+            total += math.log10(smoothed(state, w))
+            state = (*state, w)
+            while state and (len(state) >= order or not c[state]):
+                state = state[1:]
+        return total
+
+    assert len(got) == len(rows)
     for d, ws in toks.items():
-        base = total = 0.0
-        for h, w in zip(["<s>", *ws], ws):
-            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            total += math.log10((pairs[h, w] + mu * p) / ((len(train) if h == "<s>" else c[h]) + mu))
+        base = sum(math.log10((c[(w,)] + 0.1) / (n + 0.1 * (v + 1))) for w in ws[1:])
         r = got[d]
-        assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - total) < 1e-6 and (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(ws), n, sum(c[w] > 0 for w in ws))
-    assert score(empty).count() == 0
+        assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - walk(ws)) < 1e-6 and (r["n_tokens"], r["train_tokens"], r["n_known"]) == (len(ws) - 1, n, sum(c[(w,)] > 0 for w in ws[1:]))
+    assert score(empty, order=order).count() == 0
+
+
+def test_lm_nulls(spark):
+    from pathloom.llm.lm import score
+
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string").withColumn("block", F.lit("x"))
+    got = sorted(score(df).collect(), key=str)
+    assert len(got) == 4 and all(r["held_out"] is not None for r in got) and got[0]["train_tokens"] == 10
 
 
 def test_index():
