@@ -9,7 +9,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import kept, steps
+from .common import kept, lean, steps
 
 
 def blocked(docs: DataFrame, limit: int) -> DataFrame:
@@ -19,6 +19,7 @@ def blocked(docs: DataFrame, limit: int) -> DataFrame:
     """
 
     def run(batches):
+        lean()
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():

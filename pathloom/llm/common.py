@@ -110,6 +110,21 @@ def kept(name: str, make):
     return getattr(holder, name)
 
 
+def lean() -> None:
+    """Keeps a worker's memory near what it uses: large arrays are mapped one by one, and go back to the system when freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    def settle():
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with what is freed
+        pa.set_memory_pool(pa.system_memory_pool())
+
+    kept("lean", settle)
+
+
 def steps(sizes, limit: int = STEP_BYTES):
     """Cuts rows of the given sizes into runs (from, to) of about `limit`; a longer row is a run of its own."""
     lo, total = 0, 0

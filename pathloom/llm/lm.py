@@ -29,40 +29,49 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, squeezed, stretched, unblocked
 from .bytewords import mix, word_hashes
-from .common import partitions, size_class, small_batches
+from .common import lean, partitions, size_class, small_batches, steps
 from .linear import fold
 
 BLOCK_BYTES = 12 << 20
 #: Bytes of text whose entries a fragment of the hash space gathers, about.
-FRAGMENT_BYTES = 24 << 20
+FRAGMENT_BYTES = 16 << 20
 ORDER = 3
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngrams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each m up to `order`, the ids of the m-grams that end at each token; tokens of each text, and each token's place in its text.
+def ngrams(texts: list[bytes], order: int):
+    """First the tokens of each text, and each token's place in its text; then, for each m up to `order`, the ids of the m-grams that end at each token.
 
     A text is its words and an end, and begins after a start. The m-gram at place p exists where p >= m - 2.
     """
     hashes, counts = word_hashes(texts)
     ends = np.cumsum(counts + 1) - 1
-    word = np.empty(len(hashes) + len(texts), np.uint64)
-    is_end = np.zeros(len(word), bool)
-    is_end[ends] = True
-    word[is_end], word[~is_end] = END, hashes
-    place = np.arange(len(word), dtype=np.int64) - np.repeat(ends - counts, counts + 1)
-    grams, before = [word], np.where(place == 0, START, np.roll(word, 1))
-    for _ in range(1, order):
-        grams.append(mix(before * STEP + word))
-        before = np.roll(grams[-1], 1)
-    return grams, counts + 1, place
-
-
-def counted(ids: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, how often they occur in training texts, and where each id is among them."""
-    distinct, at = np.unique(ids, return_inverse=True)
-    return distinct, np.bincount(at[train], minlength=len(distinct)).astype(np.uint64), at.astype(np.int32)
+    word = np.full(len(hashes) + len(texts), END, np.uint64)
+    is_word = np.ones(len(word), bool)
+    is_word[ends] = False
+    word[is_word] = hashes
+    del hashes, is_word
+    place = np.arange(len(word), dtype=np.int32) - np.repeat(ends - counts, counts + 1).astype(np.int32)
+    yield counts + 1, place
+    yield word
+    gram = word
+    for m in range(1, order):
+        before = np.roll(gram, 1)
+        if m == 1:
+            before[place == 0] = START
+        gram = mix(before * STEP + word)
+        yield gram
+
+
+def counted(ids: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and how often they occur in training texts."""
+    distinct = np.sort(ids)
+    distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])[: len(distinct)]]
+    n = np.zeros(len(distinct), np.uint64)
+    seen, times = np.unique(ids[train], return_counts=True)
+    n[np.searchsorted(distinct, seen)] = times
+    return distinct, n
 
 
 def fragment_cuts(ids: np.ndarray, fragments: int) -> np.ndarray:
@@ -71,22 +80,20 @@ def fragment_cuts(ids: np.ndarray, fragments: int) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block, and of each order m its distinct m-grams, their counts, and which is where."""
+    """The texts of a block; `orders` gives, for each m, the distinct m-grams, how often they train, and the m-gram that ends at each place, 0 where there is none."""
 
     def __init__(self, rows: bytes, order: int):
-        self.rows = unblocked(rows)
-        grams, self.sizes, self.place = ngrams(self.rows.column("text").to_pylist(), order)
-        trains = np.repeat(~self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
-        self.ids, self.counts, self.at = [], [], []
-        for m in range(order):
+        lean()
+        self.rows, self.order = unblocked(rows), order
+        self.grams = ngrams(self.rows.column("text").to_pylist(), order)
+        self.sizes, self.place = next(self.grams)
+        self.trains = np.repeat(~self.rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+
+    def orders(self):
+        for m, gram in enumerate(self.grams):
             real = self.place >= m - 1
-            ids, n, at = counted(grams[m][real], trains[real])
-            grams[m] = None
-            full = np.full(len(real), -1, np.int32)
-            full[real] = at
-            self.ids.append(ids)
-            self.counts.append(n)
-            self.at.append(full)
+            ids, n = counted(gram[real], self.trains[real])
+            yield ids, n, np.where(real, gram, np.uint64(0))
 
 
 class Automaton:
@@ -138,14 +145,18 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, mu: float = 25.0, ord
     def send(batches):
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = Block(raw, order)
-                cuts = [fragment_cuts(ids, fragments) for ids in b.ids]
+                sent = [[] for _ in range(fragments)]
+                for ids, n, _ in Block(raw, order).orders():
+                    at = fragment_cuts(ids, fragments)
+                    for f, row in enumerate(sent):
+                        row += [squeezed(ids[at[f] : at[f + 1]], True), squeezed(n[at[f] : at[f + 1]])]
+                    del ids, n
                 for lo in range(0, fragments, 64):
-                    some = range(lo, min(lo + 64, fragments))
-                    sent = [[x for ids, n, at in zip(b.ids, b.counts, cuts) for x in (squeezed(ids[at[f] : at[f + 1]], True), squeezed(n[at[f] : at[f + 1]]))] for f in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some)), pa.array(sent, pa.list_(pa.binary()))], ["fragment", "block", "sent"])
+                    some = sent[lo : lo + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([block] * len(some)), pa.array(some, pa.list_(pa.binary()))], ["fragment", "block", "sent"])
 
     def answer(t: pa.Table) -> pa.Table:
+        lean()
         sent, n, v = t.column("sent").to_pylist(), 0, 0
         replies = [[] for _ in sent]
         for m in range(order):
@@ -172,19 +183,26 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0, mu: float = 25.0, ord
         b = Block(left.column("rows")[0].as_py(), order)
         n, v = (int(right.column(c).to_numpy().sum()) for c in ("n", "v"))  # every fragment answers every block
         replies, f = right.column("reply").to_pylist(), right.column("fragment").to_numpy()
-        for m in range(order):
-            cuts = fragment_cuts(b.ids[m], fragments)
+        counts, at = [], []
+        for m, (ids, total, gram) in enumerate(b.orders()):
+            cuts = fragment_cuts(ids, fragments)
             for k, reply in zip(f.tolist(), replies):
                 differs = np.unpackbits(np.frombuffer(reply[2 * m], np.uint8), count=cuts[k + 1] - cuts[k]).astype(bool)
-                b.counts[m][cuts[k] : cuts[k + 1]][differs] = stretched(reply[2 * m + 1])
-        starts = int(b.counts[0][np.searchsorted(b.ids[0], END)])  # as many texts start as end
-        b.ids = None
-        model = Automaton(b.counts, b.at, b.place, starts, n, v, mu)
-        text = np.repeat(np.arange(len(b.sizes)), b.sizes)
-        add = lambda x: pa.array(np.bincount(text, weights=x, minlength=len(b.sizes)))
-        known = add(model.c[0] > 0).cast(pa.int64())
-        columns = [b.rows.column("doc_id"), b.rows.column("held_out"), pa.array(b.sizes.astype(np.int64)), known, pa.array(np.full(len(b.sizes), n, np.int64)), add(model.arcs[0]), add(model.walk())]
-        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                total[cuts[k] : cuts[k + 1]][differs] = stretched(reply[2 * m + 1])
+            if m == 0:
+                starts = int(total[np.searchsorted(ids, END)])  # as many texts start as end
+            counts.append(total)
+            at.append(np.where(b.place >= m - 1, np.searchsorted(ids, gram), -1).astype(np.int32))
+            del ids, gram
+        ends = np.concatenate([[0], np.cumsum(b.sizes)])
+        base, total, known = (np.zeros(len(b.sizes)) for _ in range(3))
+        for lo, hi in steps(b.sizes.tolist(), 200_000):
+            here = slice(ends[lo], ends[hi])
+            model = Automaton(counts, [a[here] for a in at], b.place[here], starts, n, v, mu)
+            for out, x in ((base, model.arcs[0]), (total, model.walk()), (known, model.c[0] > 0)):
+                out[lo:hi] = np.add.reduceat(x, ends[lo:hi] - ends[lo], dtype=np.float64)
+        columns = [b.rows.column("doc_id"), b.rows.column("held_out"), b.sizes.astype(np.int64), known.astype(np.int64), np.full(len(known), n, np.int64), base, total]
+        return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     walked = blocks.groupBy("block").cogroup(answers.repartition(n_parts, "block").groupBy("block"))
     return walked.applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
