@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, word_hashes
-from .common import Forest, components, cut, free, partitions, size_class, small_batches
+from .common import Forest, components, cut, free, lean, partitions, size_class, small_batches
 
 FACTORS = np.random.default_rng(31).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Share of a set by which prefixes are longer than one common n-gram asks for.
@@ -147,6 +147,7 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
                         yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([k]), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes()], pa.binary())], ["fragment", "chunk", "ids", "counts"])
 
     def answer(t: pa.Table) -> pa.Table:
+        lean()
         chunk_of, raw = t.column("chunk").to_pylist(), t.column("ids").to_pylist()
         ids = np.concatenate([np.frombuffer(x, np.uint64) for x in raw])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
@@ -164,6 +165,7 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
     answers = chunks.select("chunk", "grams").mapInArrow(send, "fragment int, chunk long, ids binary, counts binary").groupBy("fragment").applyInArrow(answer, "chunk long, ids binary, totals binary")
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         ids = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("ids").to_pylist())])
         total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right.column("totals").to_pylist())])
         order = np.argsort(ids)
@@ -202,6 +204,7 @@ def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame
     asked = dealt.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))).select("g", "f", "a", "b")
 
     def overlap(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 3, ["a", "b", "part"])
         if not left.num_rows or not right.num_rows:
             return empty
@@ -246,6 +249,7 @@ def block_links(members: DataFrame, segments: DataFrame, bounds: Bounds) -> Data
     placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "n")
 
     def block(t: pa.Table) -> pa.Table:
+        lean()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         names, first, owner = np.unique(t.column("cls").to_numpy(), return_index=True, return_inverse=True)
         n, side = t.column("n").to_numpy()[first], t.column("chunk").to_numpy()[first]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Powers, byte_salt, mix, sums
-from .common import cut, free, kept, partitions, size_class, small_batches, steps
+from .common import cut, free, kept, lean, partitions, size_class, small_batches, steps
 from .runindex import RunIndex
 
 DEPTH = 50
@@ -142,6 +142,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
     copied = cut(copies.select("doc_id", "text_key", slot_of.alias("slot")).groupBy("slot").applyInArrow(pack_copies, "slot int, fragment int, ids binary, n long"))
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         rows = []
         if left.num_rows:
             slot, texts, docs_of = left.column("slot")[0].as_py(), left.column("text"), left.column("doc_id").to_numpy()
@@ -165,6 +166,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
     sent = dealt.groupBy("slot").cogroup(copied.groupBy("slot")).applyInArrow(send, "fragment int, slot int, ids binary, several binary")
 
     def answer(rows: pa.Table) -> pa.Table:
+        lean()
         f, slots_of = rows.column("fragment")[0].as_py(), rows.column("slot").to_pylist()
         ids = [unpack_ids(f, x) for x in rows.column("ids").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(i)).astype(bool) for x, i in zip(rows.column("several").to_pylist(), ids)])
@@ -186,6 +188,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
     buckets = size_class(int(shared.agg(F.sum("n")).first()[0] or 0), CONTEXTS_A_BUCKET, partitions(spark))
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         names = ["bucket", "slot", "docs", "places", "sizes", "anchors", "raw"]
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         rows = []
@@ -232,6 +235,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
 
     def match(rows: pa.Table) -> pa.Table:
         """For each document and place, which of the strings from there on go, as bits."""
+        lean()
         slot = np.array(rows.column("slot").to_pylist(), np.int32)
         doc, place = (np.concatenate([np.frombuffer(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("docs", "places"))
         sizes = np.concatenate([np.frombuffer(x, "u1") for x in rows.column("sizes").to_pylist()]).astype(np.int64)
@@ -285,6 +289,7 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
     free(spark)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         copies = right.filter(pa.array(np.array(right.column("copies").to_pylist(), bool)))
         index, _ = fresh(left, copies.select(["fragment", "ids"])) if left.num_rows else (np.zeros(0, np.int64), None)
         right = right.filter(pa.array(~np.array(right.column("copies").to_pylist(), bool)))
