@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,11 @@ def normal_query(text: str) -> str:
     return "".join(re.sub(r"^\./", "", text.replace("\\", "/")).lower().split())
 
 
+def normal_query_column(c: Column) -> Column:
+    """normal_query of a column; white space as Unicode has it."""
+    return F.regexp_replace(normal_path(c), r"(?U)\s+", "")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -53,6 +58,12 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
 
 
+def with_normal(paths: DataFrame) -> DataFrame:
+    """(seq, workspace, kind, relative_path) with the normalized columns and depth."""
+    out = paths.withColumn("norm_path", normal_path(F.col("relative_path")))
+    return out.withColumns({"norm_name": base_name(F.col("norm_path")), "norm_parent": parent(F.col("norm_path")), "norm_workspace": normal_path(F.col("workspace")), "depth": depth(F.col("relative_path"))})
+
+
 @dataclass(frozen=True)
 class Typed:
     """What was typed: a directory to look in and a query, or a query over whole paths."""
@@ -85,6 +96,19 @@ def candidate_query(typed: Typed) -> str:
     return next((s for s in reversed(query.split("/")) if s), "")
 
 
+def relative_to(uri: Column, root: Column) -> Column:
+    """The path of a uri below a root of the same scheme and authority, without outer slashes; null if it isn't below."""
+    top = F.concat(F.regexp_replace(root, "/$", ""), F.lit("/"))
+    rest = F.substring(uri, F.length(top) + 1, F.length(uri))
+    return F.when(F.startswith(uri, top), F.regexp_replace(F.translate(rest, "\\", "/"), "/$", ""))
+
+
+def shown(path: Column, workspace: Column, display: str = "parent", several_roots: bool = False) -> Column:
+    """What stands beside a name in a list: display "parent" (./ at the top), "full" or "hidden"; before it the workspace, where there are several. Null for nothing."""
+    where = {"parent": F.when(F.instr(path, "/") > 0, parent(path)).otherwise("./"), "full": path, "hidden": F.lit(None).cast("string")}[display]
+    return F.concat_ws(" \u00b7 ", workspace, where) if several_roots else where
+
+
 def suffix_list(items: list[str]) -> list[str]:
     """File suffixes: trimmed, lower case, with a leading dot, each once."""
     cleaned = (i.strip().lower() for i in items)

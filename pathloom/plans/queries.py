@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import Typed, ancestors, base_name, normal_path, parent
+from ..functions.text import Typed, ancestors, base_name, normal_path, normal_query_column, shown, with_normal
 from ..operators import history as H
 from ..operators import index as I
 from ..operators import maintain as M
@@ -26,6 +26,9 @@ PATHS = (
     + """, every AS (SELECT * FROM files UNION ALL SELECT DISTINCT -1, 'parts', 'directory', unnest([split_part(relative_path, '/', 1), split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2)]) FROM files),
 paths AS (SELECT *, lower(relative_path) AS norm_path, regexp_extract(lower(relative_path), '([^/]*)$', 1) AS norm_name, regexp_extract(lower(relative_path), '^(.*)/', 1) AS norm_parent, workspace AS norm_workspace FROM every)"""
 )
+BRANDS = """bfiles AS (SELECT p_partkey AS seq, p_brand AS workspace, 'file' AS kind, p_type || '/' || replace(p_name, ' ', '_') || '-' || p_partkey || '.item' AS relative_path FROM part),
+bevery AS (SELECT * FROM bfiles UNION ALL SELECT DISTINCT -1, workspace, 'directory', split_part(relative_path, '/', 1) FROM bfiles),
+bpaths AS (SELECT *, lower(relative_path) AS norm_path, regexp_extract(lower(relative_path), '([^/]*)$', 1) AS norm_name, regexp_extract(lower(relative_path), '^(.*)/', 1) AS norm_parent, lower(workspace) AS norm_workspace FROM bevery)"""
 PAGES = """pages0 AS (SELECT page_id AS seq, regexp_extract(regexp_extract(url, '^[^:]+://(.*)$', 1), '^([^/?#]*)', 1) AS workspace, 'file' AS kind,
   regexp_replace(regexp_extract(regexp_extract(url, '^[^:]+://(.*)$', 1), '^[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS relative_path FROM pages),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace, relative_path ORDER BY seq) AS k FROM pages0) WHERE k = 1)"""
@@ -67,8 +70,8 @@ def top_sql(rows: str, k: int) -> str:
 FROM ({rows}) WHERE score IS NOT NULL ORDER BY rank LIMIT {k}"""
 
 
-def scored_sql(q: str, where: str = "true", use_fuzzy: bool = True) -> str:
-    return f"SELECT *, {ladder_sql(q, use_fuzzy)} AS score FROM paths WHERE {where}"
+def scored_sql(q: str, where: str = "true", use_fuzzy: bool = True, source: str = "paths") -> str:
+    return f"SELECT *, {ladder_sql(q, use_fuzzy)} AS score FROM {source} WHERE {where}"
 
 
 def all_scores(q: str, use_fuzzy: bool):
@@ -123,20 +126,26 @@ def exclude_dirs(spark, sf_dir):
     return I.exclude(C.part_paths(spark, sf_dir), ["brand#2"]).select("relative_path", "kind")
 
 
-@query("exclude_suffixes", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE kind <> 'file' OR NOT ends_with(norm_path, '7.item')")
+@query("exclude_suffixes", f"WITH {PAGES} SELECT workspace, relative_path FROM firsts WHERE NOT ends_with(lower(relative_path), '.html')")
 def exclude_suffixes(spark, sf_dir):
-    return I.exclude(C.part_paths(spark, sf_dir), suffixes=["7.item"]).select("relative_path", "kind")
+    return I.exclude(with_normal(I.first_of_equal(C.page_paths(spark, sf_dir))), suffixes=["HTML "]).select("workspace", "relative_path")
 
 
 @query("depth_limit", f"WITH {PATHS} SELECT relative_path, len(string_split(relative_path, '/')) = 2 AND kind = 'directory' AS cut FROM paths WHERE len(string_split(relative_path, '/')) <= 2")
 def depth_limit(spark, sf_dir):
-    return C.part_paths(spark, sf_dir).where("depth <= 2").select("relative_path", ((F.col("depth") == 2) & (F.col("kind") == "directory")).alias("cut"))
+    return I.to_depth(C.part_paths(spark, sf_dir), 2).select("relative_path", "cut")
 
 
 @query("display_parent", f"WITH {PATHS} SELECT relative_path, regexp_extract(relative_path, '([^/]*)$', 1) AS label, CASE WHEN norm_parent = '' THEN './' ELSE regexp_extract(relative_path, '^(.*)/', 1) END AS above FROM paths")
 def display_parent(spark, sf_dir):
     path = F.col("relative_path")
-    return C.part_paths(spark, sf_dir).select("relative_path", base_name(path).alias("label"), F.when(parent(path) == "", "./").otherwise(parent(path)).alias("above"))
+    return C.part_paths(spark, sf_dir).select("relative_path", base_name(path).alias("label"), shown(path, F.col("workspace")).alias("above"))
+
+
+@query("display_several_roots", f"WITH {PAGES} SELECT workspace, relative_path, workspace || ' \u00b7 ' || relative_path AS full_path, workspace || ' \u00b7 ' || CASE WHEN instr(relative_path, '/') = 0 THEN './' ELSE regexp_extract(relative_path, '^(.*)/', 1) END AS above, workspace AS hidden FROM firsts")
+def display_several_roots(spark, sf_dir):
+    path, ws = F.col("relative_path"), F.col("workspace")
+    return I.first_of_equal(C.page_paths(spark, sf_dir)).select("workspace", "relative_path", shown(path, ws, "full", True).alias("full_path"), shown(path, ws, "parent", True).alias("above"), shown(path, ws, "hidden", True).alias("hidden"))
 
 
 @query("index_dedupe", f"WITH {PAGES} SELECT workspace, relative_path, seq, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS entry_id FROM firsts")
@@ -149,65 +158,162 @@ def derive_directories(spark, sf_dir):
     return C.page_paths(spark, sf_dir).select("workspace", F.explode(ancestors(F.col("relative_path"))).alias("directory")).distinct()
 
 
-@query("workspace_filter", f"WITH {PAGES} SELECT workspace, relative_path FROM firsts WHERE ends_with(workspace, '.example.com')")
+BRAND = "(SELECT min(workspace) FROM bpaths)"
+
+
+@query("workspace_filter", f"WITH {BRANDS} " + top_sql(scored_sql("gear", f"workspace = {BRAND}", source="bpaths"), 50))
 def workspace_filter(spark, sf_dir):
-    return I.first_of_equal(C.page_paths(spark, sf_dir)).where(F.col("workspace").endswith(".example.com")).select("workspace", "relative_path")
+    paths = C.brand_paths(spark, sf_dir)
+    first = paths.agg(F.min("workspace")).first()[0]
+    return S.search(paths, S.Request(Typed("", "gear"), workspace=first))
 
 
-@query("entry_quota")
+@query(
+    "entry_quota",
+    f"""WITH RECURSIVE {PAGES}, sizes AS (SELECT workspace, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY workspace) AS i, count(*) OVER () AS roots FROM firsts GROUP BY workspace),
+shared(i, remaining, share, workspace, n) AS (
+  SELECT CAST(0 AS BIGINT), CAST(100 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
+  UNION ALL SELECT s.i, CAST(remaining - least(s.n, CAST(ceil(remaining / (s.roots - s.i + 1)) AS BIGINT)) AS BIGINT), least(s.n, CAST(ceil(remaining / (s.roots - s.i + 1)) AS BIGINT)), s.workspace, s.n FROM shared JOIN sizes s ON s.i = shared.i + 1),
+ids AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY seq) AS entry_id FROM firsts)
+SELECT ids.workspace, relative_path, shared.n > share AS limited FROM ids JOIN shared ON ids.workspace = shared.workspace WHERE entry_id <= share""",
+)
 def entry_quota(spark, sf_dir):
-    return I.quota(I.first_of_equal(C.page_paths(spark, sf_dir)), 100).select("workspace", "relative_path")
+    return I.quota(I.first_of_equal(C.page_paths(spark, sf_dir)), 100).select("workspace", "relative_path", "limited")
+
+
+@query("entry_counters", f"WITH {BRANDS} SELECT workspace, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'directory') AS directories, count(*) AS size FROM bpaths GROUP BY workspace")
+def entry_counters(spark, sf_dir):
+    return I.counters(C.brand_paths(spark, sf_dir))
+
+
+@query("removed_share", f"WITH {BRANDS}, kept AS (SELECT count(*) AS n FROM bpaths WHERE NOT starts_with(norm_path, 'economy/')) SELECT n AS size, m AS capacity, 1 - n / CAST(m AS DOUBLE) AS removed_share FROM kept, (SELECT CAST(count(*) AS INTEGER) AS m FROM bpaths)")
+def removed_share(spark, sf_dir):
+    paths = C.brand_paths(spark, sf_dir)
+    return I.counters(paths.where("not startswith(norm_path, 'economy/')"), paths.count())
+
+
+@query("lookup_by_id", f"WITH {BRANDS}, ids AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY seq, relative_path) AS entry_id FROM bpaths) SELECT workspace, kind, relative_path FROM ids WHERE workspace = {BRAND} AND entry_id = 7")
+def lookup_by_id(spark, sf_dir):
+    paths = I.first_of_equal(C.brand_paths(spark, sf_dir))
+    return I.by_id(paths, paths.agg(F.min("workspace")).first()[0], 7).select("workspace", "kind", "relative_path")
+
+
+@query("lookup_by_identity", f"WITH {BRANDS} SELECT workspace, kind, relative_path FROM bpaths WHERE workspace = {BRAND} AND norm_path = 'economy' AND kind = 'directory'")
+def lookup_by_identity(spark, sf_dir):
+    paths = C.brand_paths(spark, sf_dir)
+    return I.by_identity(paths, paths.agg(F.min("workspace")).first()[0], "directory", "Economy").select("workspace", "kind", "relative_path")
+
+
+ENTRY = "workspace, kind, relative_path"
+
 
+def opens_sql(files: str) -> str:
+    return f"""opened AS (SELECT {ENTRY}, epoch_ms(l_shipdate) AS at_ms FROM lineitem JOIN {files} ON seq = l_partkey),
+gaps AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY {ENTRY} ORDER BY at_ms) AS gap FROM opened),
+history AS (SELECT {ENTRY}, max(at_ms) AS last_ms, CAST(sum(CASE WHEN gap IS NULL OR gap >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS opens FROM gaps GROUP BY ALL)"""
 
-OPENS = """opened AS (SELECT relative_path, epoch_ms(l_shipdate) AS at_ms FROM lineitem JOIN files ON seq = l_partkey),
-gaps AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY relative_path ORDER BY at_ms) AS gap FROM opened),
-history AS (SELECT relative_path, max(at_ms) AS last_ms, CAST(sum(CASE WHEN gap IS NULL OR gap >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS opens FROM gaps GROUP BY relative_path)"""
 
+OPENS = opens_sql("files")
+CHOSEN = f"""clicks AS (SELECT CASE event_id % 3 WHEN 0 THEN 'ge' WHEN 1 THEN 'gear' ELSE 'n' END AS query, {ENTRY}, epoch_us(ts) // 1000 AS at_ms FROM events CROSS JOIN (SELECT count(*) AS n FROM part) AS c JOIN files ON seq = event_id % n WHERE event_type = 'click'),
+chosen AS (SELECT query, {ENTRY}, count(*) AS affinity, max(at_ms) AS last_ms FROM clicks WHERE length(query) >= 2 GROUP BY ALL)"""
 
-def part_history(spark, sf_dir):
-    """Opens of the log; files of a name ending in 7 are pinned, those in 3 were chosen three times."""
-    h = H.count_opens(C.opens(spark, sf_dir))
-    return h.withColumns({"workspace": F.lit("parts"), "kind": F.lit("file"), "pinned": F.col("relative_path").endswith("77.item"), "affinity": F.when(F.col("relative_path").endswith("33.item"), 3)})
 
+def used_sql(q: str, typed: str = "h.relative_path") -> str:
+    """hist: the newest 200 of history, pinned first, with what was chosen for the query; typed: their paths as history has them."""
+    return f"""hist AS (SELECT h.* REPLACE ({typed} AS relative_path), ends_with(h.relative_path, '77.item') AS pinned, c.affinity FROM history h LEFT JOIN chosen c ON c.query = '{q}' AND c.workspace = h.workspace AND c.kind = h.kind AND c.relative_path = {typed}
+  ORDER BY pinned DESC, last_ms DESC, {typed} LIMIT 200)"""
 
-BOOST = f"""round((CASE WHEN ends_with(relative_path, '77.item') THEN CAST(2000 AS DOUBLE) ELSE 0 END) + least(CAST(300 AS DOUBLE), least(CAST(180 AS DOUBLE), log2(opens + CAST(1 AS DOUBLE)) * 40)
+
+def part_history(spark, sf_dir, query=None, typed=None):
+    """Opens of the log; files whose name ends in 77 are pinned; with what was chosen for the query. typed: their paths as history has them."""
+    h = H.count_opens(C.opens(spark, sf_dir)).withColumn("pinned", F.col("relative_path").endswith("77.item"))
+    if typed is not None:
+        h = h.withColumn("relative_path", typed)
+    return h if query is None else H.with_affinity(h, H.choices(C.clicks(spark, sf_dir)), query)
+
+
+BOOST = f"""round((CASE WHEN pinned THEN CAST(2000 AS DOUBLE) ELSE 0 END) + least(CAST(300 AS DOUBLE), least(CAST(180 AS DOUBLE), log2(opens + CAST(1 AS DOUBLE)) * 40)
   + greatest(CAST(0 AS DOUBLE), 120 - greatest(CAST(0 AS DOUBLE), (CAST({NOW_MS} AS DOUBLE) - last_ms) / CAST(86400000 AS DOUBLE)) * 10))
-  + least(CAST(2500 AS DOUBLE), log2((CASE WHEN ends_with(relative_path, '33.item') THEN 3 ELSE 0 END) + CAST(1 AS DOUBLE)) * 1200), 6)"""
+  + least(CAST(2500 AS DOUBLE), log2(coalesce(affinity, 0) + CAST(1 AS DOUBLE)) * 1200), 6)"""
 
 
-@query("history_opens", f"WITH {FILES}, {OPENS} SELECT relative_path, last_ms, opens FROM history")
+@query("history_opens", f"WITH {FILES}, {OPENS} SELECT {ENTRY}, last_ms, opens FROM history")
 def history_opens(spark, sf_dir):
     return H.count_opens(C.opens(spark, sf_dir))
 
 
+@query("history_workspaces", f"WITH {BRANDS}, {opens_sql('(SELECT seq, workspace, kind, split_part(relative_path, chr(47), 1) AS relative_path FROM bfiles)')} SELECT {ENTRY}, last_ms, opens FROM history")
+def history_workspaces(spark, sf_dir):
+    """Opens of directories that are called the same in every workspace."""
+    dirs = lambda spark, sf_dir: C.brand_files(spark, sf_dir).withColumn("relative_path", F.substring_index("relative_path", "/", 1))
+    return H.count_opens(C.opens(spark, sf_dir, dirs))
+
+
 @query("history_topn", f"WITH {FILES}, {OPENS} SELECT relative_path, ends_with(relative_path, '77.item') AS pinned, last_ms FROM history ORDER BY pinned DESC, last_ms DESC, relative_path LIMIT 200")
 def history_topn(spark, sf_dir):
     return H.newest(part_history(spark, sf_dir)).select("relative_path", "pinned", "last_ms")
 
 
-@query("usage_boost", f"WITH {FILES}, {OPENS} SELECT relative_path, {BOOST} AS gain FROM history")
+@query("usage_boost", f"WITH {FILES}, {OPENS}, {CHOSEN}, h AS (SELECT h.*, ends_with(h.relative_path, '77.item') AS pinned, affinity FROM history h LEFT JOIN chosen c ON c.query = 'gear' AND c.workspace = h.workspace AND c.kind = h.kind AND c.relative_path = h.relative_path) SELECT relative_path, {BOOST} AS gain FROM h")
 def usage_boost(spark, sf_dir):
     from ..functions.score import boost
 
-    h = part_history(spark, sf_dir)
+    h = part_history(spark, sf_dir, "gear")
     return h.select("relative_path", boost(F.col("pinned"), F.col("last_ms"), F.col("opens"), F.col("affinity"), NOW_MS).alias("gain"))
 
 
-@query("query_affinity", f"WITH {FILES}, clicks AS (SELECT 'ge' || (event_id % 3) AS query, seq, epoch_us(ts) // 1000 AS at_ms FROM events, (SELECT count(*) AS n FROM part) JOIN files ON true WHERE event_type = 'click' AND seq = event_id % n) SELECT query, relative_path, count(*) AS affinity, max(at_ms) AS last_ms FROM clicks JOIN files USING (seq) GROUP BY ALL")
+@query("query_affinity", f"WITH {FILES}, {CHOSEN} SELECT query, {ENTRY}, affinity, last_ms FROM chosen")
 def query_affinity(spark, sf_dir):
-    files = C.part_files(spark, sf_dir).select("seq", "relative_path")
-    e = C.table(spark, sf_dir, "events").where("event_type = 'click'").join(C.table(spark, sf_dir, "part").agg(F.count("*").alias("n")))
-    log = e.select((F.col("event_id") % F.col("n")).alias("seq"), F.concat(F.lit("ge"), (F.col("event_id") % 3).cast("string")).alias("query"), F.expr("unix_millis(cast(ts as timestamp))").alias("at_ms")).join(files, "seq")
-    return H.choices(log)
+    return H.choices(C.clicks(spark, sf_dir))
+
+
+@query("selection_topn", f"WITH {FILES}, {CHOSEN} SELECT query, relative_path, last_ms FROM chosen ORDER BY last_ms DESC, query, relative_path LIMIT 500")
+def selection_topn(spark, sf_dir):
+    return H.newest_choices(H.choices(C.clicks(spark, sf_dir))).select("query", "relative_path", "last_ms")
+
+
+@query("record_uris", f"WITH roots AS (SELECT DISTINCT regexp_extract(url, '^([^:]+://[^/]+)', 1) AS root FROM pages WHERE instr(url, '.com/') > 0) SELECT root AS workspace, 'file' AS kind, regexp_replace(substr(url, length(root) + 2), '/$', '') AS relative_path, page_id * 1000 AS at_ms FROM pages JOIN roots ON starts_with(url, root || '/') WHERE regexp_extract(regexp_replace(substr(url, length(root) + 2), '/$', ''), '([^/]*)$', 1) <> ''")
+def record_uris(spark, sf_dir):
+    pages = C.table(spark, sf_dir, "pages")
+    roots = pages.where("instr(url, '.com/') > 0").select(F.regexp_extract("url", "^([^:]+://[^/]+)", 1).alias("root")).distinct().withColumn("workspace", F.col("root"))
+    return H.opened(pages.select(F.col("url").alias("uri"), (F.col("page_id") * 1000).alias("at_ms")), roots)
+
+
+def history_search_sql(q: str, where: str, source: str = "paths", k: int = 50) -> str:
+    """History rows need a match, others `where` too; the boost goes to the former."""
+    rows = f"SELECT p.*, h.opens, h.last_ms, h.pinned, h.affinity FROM ({scored_sql(q, source=source)}) p LEFT JOIN hist h ON p.workspace = h.workspace AND p.kind = h.kind AND p.norm_path = lower(h.relative_path) WHERE h.opens IS NOT NULL OR ({where})"
+    return f"both_rows AS ({rows}), gained AS (SELECT * EXCLUDE (score), round(CASE WHEN opens IS NULL THEN score ELSE score + {BOOST} END, 6) AS score FROM both_rows) " + top_sql("SELECT * FROM gained", k)
+
+
+@query("search_with_history", f"WITH {PATHS}, {OPENS}, {CHOSEN}, {used_sql('gear')}, " + history_search_sql("gear", "true"))
+def search_with_history(spark, sf_dir):
+    return S.search(C.part_paths(spark, sf_dir), S.Request(Typed("", "gear"), now_ms=NOW_MS), part_history(spark, sf_dir, "gear"))
+
+
+UPPER = "CASE WHEN ends_with(h.relative_path, '3.item') THEN upper(h.relative_path) ELSE h.relative_path END"
+
+
+@query("search_len1_history", f"WITH {PATHS}, {OPENS}, {CHOSEN}, {used_sql('n', UPPER)}, " + history_search_sql("n", "starts_with(norm_name, 'n')"))
+def search_len1_history(spark, sf_dir):
+    """History is looked at beside the names that begin with n; some of its paths are in another case than the index has them."""
+    typed = F.when(F.col("relative_path").endswith("3.item"), F.upper("relative_path")).otherwise(F.col("relative_path"))
+    return S.search(C.part_paths(spark, sf_dir), S.Request(Typed("", "n"), now_ms=NOW_MS), part_history(spark, sf_dir, "n", typed))
+
+
+@query("history_first", f"WITH {PATHS}, {OPENS}, {CHOSEN}, {used_sql('gear')}, " + history_search_sql("gear", "false"))
+def history_first(spark, sf_dir):
+    return S.from_history(C.part_paths(spark, sf_dir), S.Request(Typed("", "gear"), now_ms=NOW_MS), part_history(spark, sf_dir, "gear"))
 
 
 @query(
-    "search_with_history",
-    f"WITH {PATHS}, {OPENS}, both_rows AS (SELECT p.*, h.opens, h.last_ms FROM ({scored_sql('gear')}) p LEFT JOIN history h ON p.kind = 'file' AND p.relative_path = h.relative_path), "
-    f"gained AS (SELECT * EXCLUDE (score), round(CASE WHEN opens IS NULL THEN score ELSE score + {BOOST} END, 6) AS score FROM both_rows) " + top_sql("SELECT * FROM gained", 50),
+    "search_stale_history",
+    f"WITH {PATHS}, {OPENS}, {CHOSEN}, {used_sql('gear')}, known AS (SELECT * FROM paths WHERE NOT starts_with(norm_path, 'brand#2/') OR relative_path IN (SELECT relative_path FROM hist)), "
+    + history_search_sql("gear", "true", "(SELECT * REPLACE (CASE WHEN starts_with(norm_path, 'brand#2/') THEN -1 ELSE seq END AS seq) FROM known)"),
 )
-def search_with_history(spark, sf_dir):
-    return S.search(C.part_paths(spark, sf_dir), S.Request(Typed("", "gear"), now_ms=NOW_MS), part_history(spark, sf_dir))
+def search_stale_history(spark, sf_dir):
+    """The index lacks what is below a directory; history still has some of it."""
+    paths = C.part_paths(spark, sf_dir).where("not startswith(norm_path, 'brand#2/')")
+    return S.search(paths, S.Request(Typed("", "gear"), now_ms=NOW_MS, keep_missing=True), part_history(spark, sf_dir, "gear"))
 
 
 def posting_sql(tokens: str) -> str:
@@ -227,7 +333,7 @@ GRAMS = f"""{PATHS}, posts AS (SELECT DISTINCT workspace, token, relative_path F
 n AS (SELECT workspace, token, count(*) AS n FROM posts WHERE token IN ('ge', 'ea', 'ar') GROUP BY ALL)"""
 
 
-@query("ngram_rarest", f"WITH {GRAMS}, best AS (SELECT workspace, min_by(token, (n, token)) AS token FROM n GROUP BY workspace HAVING count(*) = 3) SELECT workspace, relative_path FROM posts JOIN best USING (workspace, token)")
+@query("ngram_rarest", f"WITH {GRAMS}, best AS (SELECT workspace, min_by(token, (n, instr('gear', token))) AS token FROM n GROUP BY workspace HAVING count(*) = 3) SELECT workspace, relative_path FROM posts JOIN best USING (workspace, token)")
 def ngram_rarest(spark, sf_dir):
     return R.rarest_gram(I.postings(C.part_paths(spark, sf_dir), "bigram"), "gear")
 
@@ -242,21 +348,41 @@ def segment_intersect(spark, sf_dir):
     return R.all_segments(C.part_paths(spark, sf_dir), "eco/bra").select("relative_path", "kind")
 
 
-@query("candidate_budget", f"WITH {PATHS} SELECT relative_path, kind, CASE WHEN norm_name = 'gear' THEN 0 WHEN starts_with(norm_name, 'gea') THEN 1 WHEN instr(norm_name, 'ge') > 0 THEN 2 ELSE 3 END AS pool FROM paths ORDER BY pool, workspace, seq, relative_path LIMIT 100")
+POOLED = f"""toks AS (SELECT * FROM (VALUES ('ge', 0), ('ea', 1), ('ar', 2), ('r-', 3), ('-1', 4)) AS t(token, place)),
+counted AS (SELECT workspace, token, place, count(*) AS n FROM bpaths JOIN toks ON instr(norm_name, token) > 0 GROUP BY ALL),
+lists AS (SELECT workspace, count(*) AS have, list(token ORDER BY n, place)[1:3] AS common, min_by(token, (n, place)) AS rare FROM counted GROUP BY workspace),
+pooled AS (SELECT p.*, CASE WHEN norm_name = 'gear-1' THEN 1 WHEN starts_with(norm_name, 'gea') THEN 2 WHEN have >= 2 AND len(list_filter(common, lambda t: instr(norm_name, t) > 0)) = len(common) THEN 3
+  WHEN have = 5 AND instr(norm_name, rare) > 0 THEN 4 ELSE 5 END AS pool FROM bpaths p LEFT JOIN lists USING (workspace))"""
+
+
+@query("candidate_pools", f"WITH {BRANDS}, {POOLED} SELECT workspace, relative_path, kind, pool FROM pooled")
+def candidate_pools(spark, sf_dir):
+    paths = C.brand_paths(spark, sf_dir)
+    return R.pooled(paths, paths, "gear-1").select("workspace", "relative_path", "kind", "pool")
+
+
+@query("candidate_budget", f"WITH {BRANDS}, {POOLED} " + top_sql(scored_sql("gear-1", source="(SELECT * FROM pooled ORDER BY pool, workspace, seq, relative_path LIMIT 100)"), 50))
 def candidate_budget(spark, sf_dir):
-    return R.budget(C.part_paths(spark, sf_dir), "gear", 100).select("relative_path", "kind", "pool")
+    return S.search(C.brand_paths(spark, sf_dir), S.Request(Typed("", "gear-1"), most=100))
 
 
-@query("suffix_unique", f"WITH {PATHS} SELECT relative_path FROM paths WHERE kind = 'directory' AND norm_path = (SELECT min(norm_path) FROM paths WHERE kind = 'directory' AND instr(norm_path, '/') > 0)")
-def suffix_unique(spark, sf_dir):
-    paths = C.part_paths(spark, sf_dir)
-    first = paths.where("kind = 'directory' and depth = 2").agg(F.min("norm_path")).first()[0]
-    return R.directory_by_suffix(paths, first).select("relative_path")
+@query("search_progress", f"WITH {BRANDS}, n AS (SELECT count(*) AS n FROM bpaths WHERE kind = 'file' AND instr(norm_name, 'ge') > 0) SELECT least(n, 50) AS processed, n > 50 AS truncated FROM n")
+def search_progress(spark, sf_dir):
+    return S.progress(C.brand_paths(spark, sf_dir), S.Request(Typed("", "ge"), most=50, directories=False))
+
 
+@query("search_len1_budget", f"WITH {BRANDS} " + top_sql(scored_sql("r", source="(SELECT * FROM bpaths WHERE starts_with(norm_name, 'r') ORDER BY workspace, seq, relative_path LIMIT 2000)"), 50))
+def search_len1_budget(spark, sf_dir):
+    """One character is never looked for in more than 2,000 names."""
+    return S.search(C.brand_paths(spark, sf_dir), S.Request(Typed("", "r"), most=10_000))
 
-@query("suffix_ambiguous", f"WITH {PATHS} SELECT relative_path FROM paths WHERE false")
-def suffix_ambiguous(spark, sf_dir):
-    return R.directory_by_suffix(C.part_paths(spark, sf_dir), "x/economy").select("relative_path")
+
+@query("suffix_exact", f"WITH {PATHS} SELECT relative_path FROM paths WHERE kind = 'directory' AND norm_path = (SELECT min(norm_path) FROM paths WHERE kind = 'directory' AND instr(norm_path, '/') > 0)")
+def suffix_exact(spark, sf_dir):
+    """The chain as a user may type it: with backslashes, white space and another case."""
+    paths = C.part_paths(spark, sf_dir)
+    first = paths.where("kind = 'directory' and depth = 2").agg(F.min("norm_path")).first()[0]
+    return R.directory_by_suffix(paths, ".\\ " + first.upper().replace("/", "\\") + "\\").select("relative_path")
 
 
 #: Directories three deep under one root: chains of type and brand end one of them, chains of brand and size often several.
@@ -270,7 +396,7 @@ def nested_paths(spark, sf_dir):
     path = F.concat(F.lit("shop/"), "p_type", F.lit("/"), "p_brand", F.lit("/size-"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".item"))
     files = p.select(F.col("p_partkey").alias("seq"), F.lit("shops").alias("workspace"), F.lit("file").alias("kind"), path.alias("relative_path"))
     dirs = files.select("workspace", F.explode(ancestors(F.col("relative_path"))).alias("relative_path")).distinct()
-    return C.with_normal(files.unionByName(dirs.select(F.lit(-1).cast("long").alias("seq"), "workspace", F.lit("directory").alias("kind"), "relative_path")))
+    return with_normal(files.unionByName(dirs.select(F.lit(-1).cast("long").alias("seq"), "workspace", F.lit("directory").alias("kind"), "relative_path")))
 
 
 def nested_chain(paths, depth, least):
@@ -291,37 +417,84 @@ def suffix_match_several(spark, sf_dir):
     return R.directory_by_suffix(paths, nested_chain(paths, 4, 2)).select("norm_path")
 
 
-CHANGES = f"""{FILES}, changed AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS change, f.relative_path FROM events, (SELECT count(*) AS n FROM part) JOIN files f ON f.seq = event_id % n WHERE event_type IN ('error', 'signup')),
-last AS (SELECT relative_path, max_by(change, seq) AS change, max(seq) AS seq FROM changed GROUP BY relative_path)"""
-#: The stream and the batch start from the files of an even part number.
-LIVE = "live AS (SELECT relative_path FROM files WHERE seq % 2 = 0)"
-APPLIED = f"WITH {CHANGES}, {LIVE}, rest AS (SELECT relative_path FROM live WHERE relative_path NOT IN (SELECT relative_path FROM last WHERE change = 'delete')) SELECT relative_path FROM rest UNION SELECT relative_path FROM last WHERE change = 'create'"
-
+def changes_sql(files: str) -> str:
+    return f"""changed AS (SELECT event_id AS num, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS change, {ENTRY} FROM events CROSS JOIN (SELECT count(*) AS n FROM part) AS c JOIN {files} f ON f.seq = event_id % n WHERE event_type IN ('error', 'signup')),
+last AS (SELECT {ENTRY}, max_by(change, num) AS change, max(num) AS seq FROM changed GROUP BY ALL)"""
 
-def live_files(spark, sf_dir):
-    return C.part_files(spark, sf_dir).where("seq % 2 = 0").select("relative_path")
 
-
-@query("coalesce_changes", f"WITH {CHANGES} SELECT relative_path, change, seq FROM last")
+@query("coalesce_changes", f"WITH {FILES}, {changes_sql('files')} SELECT workspace, relative_path, change, seq FROM last")
 def coalesce_changes(spark, sf_dir):
-    return M.last_change(C.changes(spark, sf_dir))
+    return M.last_change(C.changes(spark, sf_dir)).select("workspace", "relative_path", "change", "seq")
 
 
 @query("remove_subtree", f"WITH {PATHS} SELECT relative_path, kind FROM paths WHERE norm_path <> 'brand#1' AND NOT starts_with(norm_path, 'brand#1/')")
 def remove_subtree(spark, sf_dir):
-    return M.remove_subtree(C.part_paths(spark, sf_dir), "Brand#1").select("relative_path", "kind")
+    return M.remove_subtree(C.part_paths(spark, sf_dir), "parts", "brand#1").select("relative_path", "kind")
+
+
+@query("remove_in_workspace", f"WITH {BRANDS} SELECT {ENTRY} FROM bpaths WHERE workspace <> {BRAND} OR norm_path <> 'economy' AND NOT starts_with(norm_path, 'economy/')")
+def remove_in_workspace(spark, sf_dir):
+    """All workspaces have a directory of that name; one loses it."""
+    paths = C.brand_paths(spark, sf_dir)
+    return M.remove_subtree(paths, paths.agg(F.min("workspace")).first()[0], "economy").select("workspace", "kind", "relative_path")
+
 
+def applied(spark, sf_dir, files, paths):
+    """What is left after the log, from what was there before it; a batch over the limit is rebuilt from what is there now."""
+    log = C.changes(spark, sf_dir, files)
+    every = files(spark, sf_dir)
+    live = paths(spark, sf_dir).join(C.unborn(log), C.ENTRY, "left_anti")
+    gone = M.last_change(log).where("change = 'delete'").select(*C.ENTRY)
+    now = paths(spark, sf_dir).select("seq", *C.ENTRY).join(gone, C.ENTRY, "left_anti")
+    return M.apply_changes(live, log, rebuild=lambda: now).select(*C.ENTRY)
 
-@query("apply_changes", APPLIED)
+
+@query("apply_changes", f"WITH {PATHS}, {changes_sql('files')} SELECT {ENTRY} FROM paths WHERE relative_path NOT IN (SELECT relative_path FROM last WHERE change = 'delete')")
 def apply_changes(spark, sf_dir):
-    return M.apply_changes(live_files(spark, sf_dir), C.changes(spark, sf_dir), most=10_000_000)
+    return applied(spark, sf_dir, C.part_files, C.part_paths)
+
+
+@query("apply_in_workspaces", f"WITH {BRANDS}, {changes_sql('bfiles')} SELECT {ENTRY} FROM bpaths p WHERE NOT EXISTS (SELECT 1 FROM last l WHERE change = 'delete' AND l.workspace = p.workspace AND l.relative_path = p.relative_path)")
+def apply_in_workspaces(spark, sf_dir):
+    return applied(spark, sf_dir, C.brand_files, C.brand_paths)
+
+
+@query("delete_directories", f"WITH {BRANDS} SELECT {ENTRY} FROM bpaths p WHERE NOT (p.norm_path = 'small' OR starts_with(p.norm_path, 'small/')) OR workspace = {BRAND}")
+def delete_directories(spark, sf_dir):
+    """Deletes a directory, typed in another case, in all workspaces but the first."""
+    paths = C.brand_paths(spark, sf_dir)
+    names = paths.select("workspace").distinct()
+    log = names.where(F.col("workspace") != paths.agg(F.min("workspace")).first()[0]).select(F.lit(1).alias("seq"), F.lit("delete").alias("change"), "workspace", F.lit(None).cast("string").alias("kind"), F.lit("Small").alias("relative_path"))
+    return M.apply_changes(paths, log).select(*C.ENTRY)
+
+
+@query("create_again", f"WITH {BRANDS} SELECT workspace, kind, relative_path FROM bpaths p WHERE NOT (p.norm_path = 'small' OR starts_with(p.norm_path, 'small/')) UNION ALL SELECT DISTINCT workspace, 'file', 'Small' FROM bpaths")
+def create_again(spark, sf_dir):
+    """A file created in place of a directory whose name differs in case takes it away, and all below it."""
+    paths = C.brand_paths(spark, sf_dir)
+    log = paths.select("workspace").distinct().select(F.lit(1).alias("seq"), F.lit("create").alias("change"), "workspace", F.lit("file").alias("kind"), F.lit("Small").alias("relative_path"))
+    return M.apply_changes(paths, log).select(*C.ENTRY)
+
+
+@query("load_scope", f"WITH {BRANDS} SELECT {ENTRY} FROM bpaths WHERE kind = 'directory' OR workspace = {BRAND} AND starts_with(norm_path, 'economy/')")
+def load_scope(spark, sf_dir):
+    """An index of the top level gets all below one directory of one workspace."""
+    paths = C.brand_paths(spark, sf_dir)
+    some = I.to_depth(paths, 1)
+    return M.add_scope(some, paths, paths.agg(F.min("workspace")).first()[0], "economy").select(*C.ENTRY)
 
 
 @query("case_lookup", f"WITH {PATHS} SELECT relative_path FROM paths WHERE norm_path = 'brand#1'")
 def case_lookup(spark, sf_dir):
-    return R.by_path(C.part_paths(spark, sf_dir), "BRAND#1").select("relative_path")
+    return I.by_path(C.part_paths(spark, sf_dir), "BRAND#1").select("relative_path")
 
 
-@query("normalize_query", f"WITH {FILES} SELECT relative_path, lower(relative_path) AS norm FROM files")
+@query("normalize_query", r"""SELECT p_partkey, lower(regexp_replace(replace(p_brand || '/' || p_name, '\', '/'), '\s+', '', 'g')) AS norm FROM part""")
 def normalize_query(spark, sf_dir):
+    p = C.table(spark, sf_dir, "part")
+    return p.select("p_partkey", normal_query_column(F.concat(F.lit(".\\"), "p_brand", F.lit("\\"), "p_name")).alias("norm"))
+
+
+@query("normalize_slashes", f"WITH {FILES} SELECT relative_path, lower(relative_path) AS norm FROM files")
+def normalize_slashes(spark, sf_dir):
     return C.part_files(spark, sf_dir).select("relative_path", normal_path(F.concat(F.lit("./"), F.translate("relative_path", "/", "\\"))).alias("norm"))
