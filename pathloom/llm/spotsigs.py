@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits in lower case. Each common word is an anchor; its signature is the anchor
 and the next three content words, common words between them left out. The start of a text is an anchor too, so
-a text with a word has a signature; a chain at the end may be shorter. A fingerprint is the sorted set of the
-signatures' 32-bit hashes, in hex; likeness is the Jaccard coefficient of two sets, 1 for two empty ones.
+a text with a content word has a signature; a chain at the end may be shorter, and one without content words is
+none. A fingerprint is the sorted set of the signatures' 32-bit hashes, in hex; likeness is the Jaccard
+coefficient of two sets, 1 for two empty ones. The time that a text takes grows with its length, whatever its words.
 
 Null text counts as empty, with the empty fingerprint. Rows that share an id are neighbours in order of a hash
 of their texts. An empty table gives no row; a table of one document has it as its own successor. Columns
@@ -33,17 +34,30 @@ también un una y ya
 CHAIN = 3
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often, and in whatever lambdas, it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signatures(text: str, chain: int = CHAIN) -> Column:
     """Sorted distinct 32-bit signature hashes of a text column."""
     common = sorted(set(COMMON_WORDS))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     words = F.filter(F.split(plain, " "), lambda w: w != "")
-    marked = F.transform(words, lambda w: F.when(w.isin(common), F.concat(F.lit("\x01"), w)).otherwise(w))
-    line = F.concat(F.lit("\x01\x02 "), F.array_join(marked, " "), F.lit(" "))
-    content = r"(?:(?:\x01[^ ]+ )*+[^ ]+ )"
-    spots = F.regexp_extract_all(line, F.lit(rf"(?=(\x01[^ ]+ {content}{{1,{chain}}}+))\x01"), 1)
-    cleaned = F.transform(spots, lambda s: F.hash(F.concat(F.substring_index(s, " ", 1), F.regexp_replace(s, r"\x01[^ ]+ ", " "))))
-    return F.array_sort(F.array_distinct(cleaned))
+    # content words begin a piece; anchors follow, marked, in the piece of the content word before them
+    marked = F.transform(words, lambda w: F.concat(F.when(w.isin(common), F.lit("\x01")).otherwise("\x02"), w))
+    pieces = F.split(F.concat(F.lit("\x01\x03 "), F.array_join(marked, " ")), "\x02")
+
+    def of(p: Column) -> Column:
+        def spots(piece, k):
+            anchors = F.array_distinct(F.filter(F.split(piece, " "), lambda w: F.startswith(w, F.lit("\x01"))))
+            content = [F.substring_index(F.get(p, k + j), " ", 1) for j in range(1, chain + 1)]  # null beyond the end
+            found = F.transform(anchors, lambda a: F.hash(F.concat_ws(" ", a, *content)))
+            return F.when(k + 1 < F.size(p), found).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(p, spots))
+
+    return F.array_sort(F.array_distinct(let(pieces, of)))
 
 
 def fingerprint(sigs: str | Column) -> Column:

@@ -115,18 +115,63 @@ def test_vectors_in_a_dense_group(spark):
     assert [got[i]["component_id"] for i in order.tolist()] == label.tolist()
 
 
-def test_spotsigs(spark, docs, rows, empty):
-    from pathloom.llm.spotsigs import near_duplicates, spotsigs_digest
+def plain_signatures(t):
+    """Each anchor, the start among them, with the next three content words."""
+    from pathloom.llm.spotsigs import COMMON_WORDS
+
+    words = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for i, a in enumerate(["\x03", *words]):
+        if i and a not in COMMON_WORDS:
+            continue
+        chain = [w for w in words[i:] if w not in COMMON_WORDS][:3]
+        if chain:
+            out.add(" ".join(["\x01" + a, *chain]))
+    return out
+
 
-    got = {r["doc_id"]: r for r in spotsigs_digest(docs).collect()}
-    t = [r[1] or "" for r in rows]
-    for i, r in enumerate(rows):
-        k = len(t[i]) // 4
-        edited = t[i][: len(t[i]) - k] + t[(i + 1) % len(t)][:k]
+def test_spotsigs(spark, docs, rows, empty):
+    from pathloom.llm.spotsigs import spotsigs_digest
+
+    made = [*rows, *((1000 + i, t, "s", 1, "y", 2.0) for i, t in enumerate(["the of cat dog bird", "the cat dog bird", "The cat, of dog the BIRD of", "the of", "the " * 1_000 + "cat dog bird", "cat the the dog"]))]
+    plain = {t: plain_signatures(t) for r in made for t in [r[1] or ""]}
+    for i, r in enumerate(made):
+        t, after = r[1] or "", made[(i + 1) % len(made)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        plain[edited] = plain_signatures(edited)
+    strings = sorted(set().union(*plain.values()))
+    hashed = dict(zip(strings, (r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(strings)], "i int, s string").orderBy("i").select(F.hash("s")).collect())))
+    sets = {t: {hashed[x] for x in sigs} for t, sigs in plain.items()}
+    print_of = lambda t: "".join(f"{h & 0xFFFFFFFF:08x}" for h in sorted(sets[t]))
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    table = spark.createDataFrame(made, SCHEMA).repartition(3)
+    got = {r["doc_id"]: r for r in spotsigs_digest(table).collect()}
+    assert len(got) == len(made)
+    for i, r in enumerate(made):
+        t, after = r[1] or "", made[(i + 1) % len(made)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         x = got[r[0]]
-        assert x["n_chars"] == len(t[i]) and x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and 0 <= x["near_next"] <= 1
-        assert all((t[i] != t[j]) or x["fingerprint"] == got[rows[j][0]]["fingerprint"] for j in range(len(t)))
-    assert spotsigs_digest(empty).count() == 0 and near_duplicates(docs).count() == len(rows)
+        assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x["fingerprint"], x["edited_fingerprint"]) == (print_of(t), print_of(edited))
+        assert abs(x["near_edited"] - like(sets[t], sets[edited])) < 1e-12 and abs(x["near_next"] - like(sets[t], sets[after])) < 1e-12
+    assert len(sets["the cat dog bird"] & sets["the of cat dog bird"]) == 2 and got[1004]["fingerprint"] == got[1001]["fingerprint"]
+    assert spotsigs_digest(empty).count() == 0 and spotsigs_digest(table.limit(1)).count() == 1
+
+
+def test_spotsigs_time(spark):
+    """Long runs of common words take no longer than other texts."""
+    import time
+
+    from pathloom.llm.spotsigs import signatures
+
+    def took(text):
+        df = spark.createDataFrame([(text,)], "text string").select(F.size(signatures("text"))).cache()
+        began = time.time()
+        df.collect()
+        return time.time() - began
+
+    took("the cat " * 10)
+    assert took("the " * 200_000 + "cat") < 10 and took("the cat " * 100_000) < 10
 
 
 def test_ngram_join(spark, docs, rows, empty):
