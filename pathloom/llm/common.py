@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import time
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,8 +94,57 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+#: Bits of a sieve at most, 8 MB; and bits and marks for each id.
+SIEVE_BITS, BITS_EACH, MARKS = 1 << 26, 16, 4
+
+
+class Sieve:
+    """A Bloom filter of ids: all of them pass, and few others, so that rows are dropped before a shuffle and a join after it decides.
+
+    Its size is bounded by SIEVE_BITS whatever the number of ids; beyond some ten million more others pass.
+    """
+
+    def __init__(self, ids: DataFrame, count: int):
+        import numpy as np
+        import pyarrow as pa
+
+        width = min(SIEVE_BITS, 1 << max(12, (BITS_EACH * count).bit_length()))
+        self.width = width
+
+        def mark(batches):
+            for batch in batches:
+                at = np.unique(marks(batch.column(0).to_numpy(zero_copy_only=False), width))
+                word = at >> 6
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])[: len(word)])
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+        got = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most width / 64 rows
+        words = np.zeros(width // 64, np.uint64)
+        words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        self.words = ids.sparkSession.sparkContext.broadcast(words)
+
+    def passing(self, ids):
+        """Which of the ids, a numpy array of longs, pass."""
+        import numpy as np
+
+        at = marks(ids, self.width).reshape(MARKS, -1)
+        return ((self.words.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+
+    def __getstate__(self):
+        return self.width, self.words
+
+    def __setstate__(self, state):
+        self.width, self.words = state
+
+
+def marks(ids, width: int):
+    import numpy as np
+
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    other = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20) | np.uint64(1)
+    return np.concatenate([((h + np.uint64(i) * other) & np.uint64(width - 1)).astype(np.int64) for i in range(MARKS)])
 
 
 def kept(name: str, make):

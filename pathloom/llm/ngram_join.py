@@ -5,7 +5,7 @@ n-grams is that of their hashes; it is cut into fragments, and what a task sees
 
 Candidates. A set of n must share, with any set it links with, at least r of the first p n-grams in that order
 (the l-prefix rule). Classes send these prefixes to the fragments, an n-gram once a chunk of classes however
-many hold it; fragments answer with the n-grams that several classes hold. A class with fewer than r such links
+many hold it; fragments answer with the n-grams that several classes hold, in the order in which they were sent. A class with fewer than r such links
 with nothing; the others drop the r - 1 most frequent ones, which leaves every linked pair an n-gram in common
 and empties out passages that many documents share.
 
@@ -13,9 +13,14 @@ Links. In each list the first class is paired with all others, and pairs within
 each fragment counts the partial overlap of its pairs, and the sums decide. Of lists of up to LONG classes, all
 pairs between different components so found are then verified alike. Classes on longer lists are listed anew by
 longer prefixes, of which more of the frequent n-grams may be dropped (adaptive prefixes, Wang et al. 2012), so
-sets that share no more than a passage part. Lists that are still longer are joined to clusters, a cluster is cut into chunks, and each pair of chunks is a task that counts the partial overlaps of all its pairs
-at once, fragment by fragment, and gives a spanning forest of the links; so neither the pairs of a large group
-are listed nor a link between components lost.
+sets that share no more than a passage part. Lists that are still longer are joined to clusters. What the first
+class of a list links with is one component by then, so a large group of copies of one text needs no more; a
+cluster of several components is cut into chunks, those of a large component apart, and each pair of chunks that
+isn't of one component is a task that counts the partial overlaps of all its pairs at once, fragment by fragment,
+and gives a spanning forest of the links. So neither the pairs of a large group are listed nor a link between
+components lost.
+
+Texts aren't shuffled: what is wanted of some documents is taken from the table by a filter of their ids.
 
 Null, empty and blank texts have the empty set and link with nothing. Rows that share an id are one document.
 An empty table gives no row. Columns besides doc_id and text are not read.
@@ -26,11 +31,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import squeezed, stretched
 from .bytewords import mix, word_hashes
-from .common import Forest, components, cut, free, lean, partitions, size_class, small_batches
+from .common import Forest, Sieve, components, cut, free, lean, partitions, size_class, small_batches
 
 FACTORS = np.random.default_rng(31).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Share of a set by which prefixes are longer than one common n-gram asks for.
@@ -95,11 +101,14 @@ def fragment_cuts(h: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(fragment(h, n), np.arange(n + 1, dtype=np.uint64))
 
 
-def profiles(docs: DataFrame, words: int, prefix: Bounds | None) -> DataFrame:
-    """doc_id, n, two digests of the set and, if bounds are given, its prefix."""
+def profiles(docs: DataFrame, words: int, prefix: Bounds | None, some: Sieve | None = None) -> DataFrame:
+    """doc_id, n, two digests of the set and, if bounds are given, its prefix; of the documents that pass `some`."""
 
     def run(batches):
+        lean()
         for batch in batches:
+            if some:
+                batch = batch.filter(pa.array(some.passing(batch.column(0).to_numpy(zero_copy_only=False))))
             sets = ngram_sets(batch.column(1).to_pylist(), words)
             n = np.array([len(s) for s in sets], np.int64)
             d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -138,45 +147,42 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
     free(classes.sparkSession)
 
     def send(batches):
+        lean()
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
                 cuts = fragment_cuts(ids, fragments)
-                for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([k]), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes()], pa.binary())], ["fragment", "chunk", "ids", "counts"])
+                rows = [(f, k, squeezed(ids[a:b], True), squeezed(n[a:b])) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["fragment", "chunk", "ids", "counts"])
 
     def answer(t: pa.Table) -> pa.Table:
+        """To each chunk, which of the n-grams that it sent several classes hold, and how many."""
         lean()
-        chunk_of, raw = t.column("chunk").to_pylist(), t.column("ids").to_pylist()
-        ids = np.concatenate([np.frombuffer(x, np.uint64) for x in raw])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]).astype(np.int64)
-        chunk_ids = np.repeat(np.array(chunk_of, np.int64), [len(x) // 8 for x in raw])
+        ids = [stretched(x, True) for x in t.column("ids").to_pylist()]
+        ends = np.cumsum([len(x) for x in ids])
+        ids = np.concatenate(ids)
+        n = np.concatenate([stretched(x) for x in t.column("counts").to_pylist()])
         order = np.argsort(ids, kind="stable")
-        ids, n, chunk_ids = ids[order], n[order], chunk_ids[order]
-        new = np.concatenate([[True], ids[1:] != ids[:-1]])
-        total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
-        many = np.flatnonzero(total > 1)
-        by = many[np.argsort(chunk_ids[many], kind="stable")]
-        keys, at = np.unique(chunk_ids[by], return_index=True)
-        cuts = np.append(at, len(by))
-        return pa.Table.from_arrays([pa.array(keys), pa.array([ids[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.array([total[by[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["chunk", "ids", "totals"])
+        new = np.concatenate([[True], np.diff(ids[order]) > 0])
+        total = np.empty_like(n)
+        total[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        parts = [total[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+        return pa.Table.from_arrays([t.column("chunk"), t.column("fragment"), pa.array([np.packbits(x > 1).tobytes() for x in parts], pa.binary()), pa.array([squeezed(x[x > 1]) for x in parts], pa.binary())], ["chunk", "fragment", "held", "totals"])
 
-    answers = chunks.select("chunk", "grams").mapInArrow(send, "fragment int, chunk long, ids binary, counts binary").groupBy("fragment").applyInArrow(answer, "chunk long, ids binary, totals binary")
+    answers = chunks.select("chunk", "grams").mapInArrow(send, "fragment int, chunk long, ids binary, counts binary").groupBy("fragment").applyInArrow(answer, "chunk long, fragment int, held binary, totals binary")
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
-        ids = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("ids").to_pylist())])
-        total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in right.column("totals").to_pylist())])
-        order = np.argsort(ids)
-        ids, total = ids[order], total[order]
         out = ([], [], [])
         for cls, n, raw in zip(*(left.column(c).to_pylist() for c in ("cls", "n", "grams"))):
             grams, at = np.frombuffer(raw, np.uint64), 0
-            if not len(ids):
-                continue
-            place = np.minimum(np.searchsorted(ids, grams), len(ids) - 1)
-            df = np.where(ids[place] == grams, total[place], 1)
+            ids = np.unique(grams)
+            total, cuts = np.ones(len(ids), np.int64), fragment_cuts(ids, fragments)
+            for f, held, counts in zip(*(right.column(c).to_pylist() for c in ("fragment", "held", "totals"))):
+                several = np.unpackbits(np.frombuffer(held, np.uint8), count=cuts[f + 1] - cuts[f]).astype(bool)
+                total[cuts[f] : cuts[f + 1]][several] = stretched(counts)
+            df = total[np.searchsorted(ids, grams)]
             for c, size in zip(cls, n):
                 end = at + bounds.prefix(size)
                 g, d = grams[at:end], df[at:end]
@@ -242,10 +248,21 @@ def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame
 
 
 def block_links(members: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame:
-    """Links (a, b), a spanning forest of each task's, among classes (cls, n) of the same cluster."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    """Links (a, b), a spanning forest of each task's, among classes (cls, n, label) of a cluster that differ in label.
+
+    Labels of BLOCK classes or more in a cluster have chunks of their own; the others share some.
+    """
+    several = members.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    members = members.join(several, "cluster", "left_semi")
+    own = members.groupBy("cluster", "label").agg(F.count("*").alias("m")).withColumn("big", F.when(F.col("m") >= BLOCK, F.col("label")))
+    sizes = own.groupBy("cluster", "big").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("chunks"))
+    before = Window.partitionBy("cluster").orderBy(F.col("big").isNull(), "big").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("first", F.coalesce(F.sum("chunks").over(before), F.lit(0)).cast("int"))
+    every = sizes.select("cluster", "big", F.explode(F.sequence("first", F.col("first") + F.col("chunks") - 1)).alias("other")).withColumnRenamed("big", "other_big")
+    placed = members.join(own.select("cluster", "label", "big"), ["cluster", "label"])
+    same = placed.big.eqNullSafe(sizes.big) & (placed.cluster == sizes.cluster)
+    placed = placed.join(sizes, same).select(placed.cluster, placed.cls, placed.n, placed.big, (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("chunks"))).cast("int").alias("chunk"))
+    placed = placed.join(every, "cluster").where("big is null or other_big is null or big <> other_big")
     placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "n")
 
     def block(t: pa.Table) -> pa.Table:
@@ -315,8 +332,12 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     inside = f"na * {den} >= nb * {num} and nb * {den} >= na * {num}"
     stars = cut(star_pairs(posts, inside))
 
+    held = Sieve(chosen.select("cls"), chosen.count())
+
     def cut_up(batches):
+        lean()
         for batch in batches:
+            batch = batch.filter(pa.array(held.passing(batch.column(0).to_numpy(zero_copy_only=False))))
             cls, f, grams = [], [], []
             for c, s in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1).to_pylist(), words)):
                 cuts = fragment_cuts(s, SEGMENTS)
@@ -326,7 +347,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
                     grams.append(s[cuts[k] : cuts[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.binary())], ["cls", "f", "grams"])
 
-    texts = docs.join(chosen.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     segments = cut(texts.mapInArrow(cut_up, "cls long, f int, grams binary"))
     free(spark)
     links = cut(verified(stars, segments, bounds))
@@ -334,18 +355,19 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     far = cut(posts.join(list_heads(posts).where(F.col("size") > LONG), ["r", "h"], "left_semi").select(F.col("cls").alias("doc_id")).distinct())
     if not far.isEmpty():
         wide = Bounds(num, den, WIDE)
-        sets = profiles(docs.join(far, "doc_id", "left_semi"), words, wide).where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
+        sets = profiles(docs.where("doc_id is not null"), words, wide, Sieve(far, far.count())).where("n > 0").join(far, "doc_id", "left_semi").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
         again = cut(kept_prefixes(sets, wide, fragments)).select(F.lit(2).alias("r"), F.explode("grams").alias("h"), "cls", "n")
         free(spark)
         more = cut(star_pairs(again, inside).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
         stars = stars.unionByName(more)
-        links = links.unionByName(verified(more, segments, bounds))
+        links = cut(links.unionByName(verified(more, segments, bounds)))
         heads = list_heads(again).where(F.col("size") > LONG)
         long = again.join(heads, ["r", "h"]).select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
         if not long.isEmpty():
             members = components(long, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(chosen.select("cls", "n"), "cls")
-            links = links.unionByName(block_links(members, segments, bounds))
-        links = cut(links)
+            known = components(links, "a", "b").select(F.col("node").alias("cls"), "component")
+            members = cut(members.join(known, "cls", "left").select("cluster", "cls", "n", F.coalesce("component", "cls").alias("label")))
+            links = cut(links.unionByName(block_links(members, segments, bounds)))
         posts = posts.unionByName(again)
         free(spark)
     first = components(links, "a", "b")
