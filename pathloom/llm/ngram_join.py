@@ -101,32 +101,39 @@ def fragment_cuts(h: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(fragment(h, n), np.arange(n + 1, dtype=np.uint64))
 
 
-def profiles(docs: DataFrame, words: int, prefix: Bounds | None, some: Sieve | None = None) -> DataFrame:
-    """doc_id, n, two digests of the set and, if bounds are given, its prefix; of the documents that pass `some`."""
+def profiles(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and two digests of the set."""
 
     def run(batches):
         lean()
         for batch in batches:
-            if some:
-                batch = batch.filter(pa.array(some.passing(batch.column(0).to_numpy(zero_copy_only=False))))
             sets = ngram_sets(batch.column(1).to_pylist(), words)
             n = np.array([len(s) for s in sets], np.int64)
             d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            columns, names = [batch.column(0), pa.array(n), pa.array(d1), pa.array(d2)], ["doc_id", "n", "d1", "d2"]
-            if prefix:
-                columns.append(pa.array([s[: prefix.prefix(len(s))].tobytes() for s in sets], pa.binary()))
-                names.append("prefix")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2)], ["doc_id", "n", "d1", "d2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long" + ", prefix binary" * bool(prefix))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long")
 
 
-def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFrame:
-    """From classes (cls, n, prefix): cls, n, grams that may link it, for the classes that have any."""
+def named_texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def passing(batch: pa.RecordBatch, some: Sieve) -> pa.RecordBatch:
+    return batch.filter(pa.array(some.passing(batch.column(0).to_numpy(zero_copy_only=False))))
+
+
+def kept_prefixes(docs: DataFrame, words: int, bounds: Bounds, some: Sieve, fragments: int) -> DataFrame:
+    """cls, n, grams that may link it, for those of the documents that pass `some` that have any; cls is the id.
+
+    Chunks of prefixes are shuffled once, and used both to ask the fragments and to choose by their answers. A copy
+    of a class that passes by chance does no harm: it links with its class.
+    """
 
     def chunk(batches):
+        lean()
         part, k, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
@@ -134,22 +141,23 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.array([list(cls)], pa.list_(pa.int64())), pa.array([list(n)], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary())], ["chunk", "cls", "n", "grams"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(row)
-                size += len(row[2]) // 8
+            batch = passing(batch, some)
+            for cls, s in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1).to_pylist(), words)):
+                if len(s):
+                    rows.append((cls, len(s), s[: bounds.prefix(len(s))].tobytes()))
+                    size += len(rows[-1][2]) // 8
                 if size > CHUNK:
                     yield flush()
                     k, rows, size = k + 1, [], 0
         if rows:
             yield flush()
 
-    chunks = cut(classes.select("cls", "n", "prefix").mapInArrow(chunk, "chunk long, cls array<long>, n array<long>, grams binary"))
-    free(classes.sparkSession)
+    chunks = named_texts(docs).mapInArrow(chunk, "chunk long, cls array<long>, n array<long>, grams binary").repartition(partitions(docs.sparkSession), "chunk")
 
     def send(batches):
         lean()
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 ids, n = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
                 cuts = fragment_cuts(ids, fragments)
                 rows = [(f, k, squeezed(ids[a:b], True), squeezed(n[a:b])) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
@@ -170,7 +178,7 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
         parts = [total[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
         return pa.Table.from_arrays([t.column("chunk"), t.column("fragment"), pa.array([np.packbits(x > 1).tobytes() for x in parts], pa.binary()), pa.array([squeezed(x[x > 1]) for x in parts], pa.binary())], ["chunk", "fragment", "held", "totals"])
 
-    answers = chunks.select("chunk", "grams").mapInArrow(send, "fragment int, chunk long, ids binary, counts binary").groupBy("fragment").applyInArrow(answer, "chunk long, fragment int, held binary, totals binary")
+    answers = chunks.mapInArrow(send, "fragment int, chunk long, ids binary, counts binary").groupBy("fragment").applyInArrow(answer, "chunk long, fragment int, held binary, totals binary")
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
@@ -198,6 +206,17 @@ def kept_prefixes(classes: DataFrame, bounds: Bounds, fragments: int) -> DataFra
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose, "cls long, n long, grams array<long>")
 
 
+def picked(segments: DataFrame, ids: DataFrame) -> DataFrame:
+    """Segments of the classes in `ids`, and few others, so that the join with them moves no more than it needs."""
+    some = Sieve(ids, ids.count())
+
+    def run(batches):
+        for batch in batches:
+            yield passing(batch, some)
+
+    return segments.mapInArrow(run, "cls long, f int, grams binary")
+
+
 def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs (a, na, b, nb) that link: overlaps counted fragment by fragment and summed per pair.
 
@@ -206,7 +225,7 @@ def verified(pairs: DataFrame, segments: DataFrame, bounds: Bounds) -> DataFrame
     groups = size_class(pairs.count(), PAIRS_A_GROUP, 1)
     dealt = pairs.withColumn("g", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(16))), F.lit(groups)).cast("int"))
     needs = dealt.select(F.col("a").alias("cls"), "g").unionByName(dealt.select(F.col("b").alias("cls"), "g")).distinct()
-    sent = segments.join(needs, "cls").select(F.col("g").alias("to_g"), F.col("f").alias("to_f"), "cls", "grams")
+    sent = picked(segments, needs.select("cls").distinct()).join(needs, "cls").select(F.col("g").alias("to_g"), F.col("f").alias("to_f"), "cls", "grams")
     asked = dealt.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))).select("g", "f", "a", "b")
 
     def overlap(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,7 +319,7 @@ def block_links(members: DataFrame, segments: DataFrame, bounds: Bounds) -> Data
         u, v = (np.array(z, np.int64) for z in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
         return pa.Table.from_arrays([pa.array(names[u]), pa.array(names[v])], ["a", "b"])
 
-    return placed.join(segments, "cls").groupBy("cluster", "i", "j").applyInArrow(block, "a long, b long")
+    return placed.join(picked(segments, members.select("cls").distinct()), "cls").groupBy("cluster", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def list_heads(posts: DataFrame) -> DataFrame:
@@ -320,13 +339,13 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     small_batches(spark)
     bounds = Bounds(num, den)
     docs = docs.select("doc_id", "text")
-    found = cut(profiles(docs, words, None))
+    found = cut(profiles(docs, words))
     total = int(found.agg(F.sum("n")).first()[0] or 0)
     classes = found.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"))
     member = found.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("cls", "doc_id").alias("cls"))
     fragments = size_class(total // 4, 2_000_000, partitions(spark))
-    sets = profiles(docs, words, bounds).where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
-    chosen = cut(kept_prefixes(sets, bounds, fragments))
+    names = classes.where("cls is not null").select("cls")
+    chosen = cut(kept_prefixes(docs, words, bounds, Sieve(names, found.count()), fragments))
     free(spark)
     posts = chosen.select(F.lit(1).alias("r"), F.explode("grams").alias("h"), "cls", "n")
     inside = f"na * {den} >= nb * {num} and nb * {den} >= na * {num}"
@@ -337,7 +356,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     def cut_up(batches):
         lean()
         for batch in batches:
-            batch = batch.filter(pa.array(held.passing(batch.column(0).to_numpy(zero_copy_only=False))))
+            batch = passing(batch, held)
             cls, f, grams = [], [], []
             for c, s in zip(batch.column(0).to_pylist(), ngram_sets(batch.column(1).to_pylist(), words)):
                 cuts = fragment_cuts(s, SEGMENTS)
@@ -347,16 +366,14 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
                     grams.append(s[cuts[k] : cuts[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.binary())], ["cls", "f", "grams"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    segments = cut(texts.mapInArrow(cut_up, "cls long, f int, grams binary"))
+    segments = cut(named_texts(docs).mapInArrow(cut_up, "cls long, f int, grams binary"))
     free(spark)
     links = cut(verified(stars, segments, bounds))
     free(spark)
     far = cut(posts.join(list_heads(posts).where(F.col("size") > LONG), ["r", "h"], "left_semi").select(F.col("cls").alias("doc_id")).distinct())
     if not far.isEmpty():
         wide = Bounds(num, den, WIDE)
-        sets = profiles(docs.where("doc_id is not null"), words, wide, Sieve(far, far.count())).where("n > 0").join(far, "doc_id", "left_semi").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
-        again = cut(kept_prefixes(sets, wide, fragments)).select(F.lit(2).alias("r"), F.explode("grams").alias("h"), "cls", "n")
+        again = cut(kept_prefixes(docs, words, wide, Sieve(far, far.count()), fragments)).select(F.lit(2).alias("r"), F.explode("grams").alias("h"), "cls", "n")
         free(spark)
         more = cut(star_pairs(again, inside).join(stars.select("a", "b"), ["a", "b"], "left_anti"))
         stars = stars.unionByName(more)
@@ -387,7 +404,24 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
 
 
 def one_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of linked ones, columns as given; rows that share an id count as one."""
-    keep = linked(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    """docs with one document of each group of linked ones, columns as given; rows that share an id count as one, those without an id stay.
+
+    Only rows whose ids pass a filter of those that go or come twice are joined and moved; the others stay where they are.
+    """
+    found = cut(linked(docs, words, num, den).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
+    unsure = found.where("doc_id <> component_id or rows > 1").select("doc_id")
+    some = Sieve(unsure, unsure.count())
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+
+    def those(pass_: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(0)
+                hit = some.passing(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == pass_))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    checked = those(True).join(keep, "id", "left_semi").dropDuplicates(["id"])
+    return those(False).select("row.*").unionByName(checked.select("row.*"))

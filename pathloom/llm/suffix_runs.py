@@ -33,6 +33,8 @@ BLOCK_BYTES = 16 << 20
 CONTEXTS_A_BUCKET = 16_000
 TOP = np.uint64(2**64 - 1)
 NO_ID = 2**63 - 1
+#: Rows of one text beyond which, and parts into which, they are spread.
+SALTS = 64
 
 
 def spread_slots(docs: DataFrame, n: int) -> list[int]:

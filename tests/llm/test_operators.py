@@ -191,6 +191,8 @@ def test_ngram_join(spark, docs, rows, empty):
     assert {a: (len(sets[a]), root[a]) for a in sets} == {a: (r["n_shingles"], r["component_id"]) for a, r in got.items()}
     assert linked(empty, 4, 85, 100).count() == 0
     assert one_each(docs).columns == docs.columns
+    twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, "d"), (3, "e"), (None, "a b c"), (None, None), (4, "")], "doc_id long, text string").withColumn("row", F.lit(1))
+    assert sorted(one_each(twice).select("doc_id").collect(), key=str) == sorted([(1,), (3,), (4,), (None,), (None,)], key=str)
 
 
 def test_long_lists(spark, monkeypatch):
@@ -229,6 +231,8 @@ def test_classifiers(spark, docs, rows, empty):
     from pathloom.llm.toxicity import IDENTITY_TERMS, fit_words, key, toxicity_digest, word_keys
 
     labels = spark.createDataFrame([(r[0], i % 2, i % 3 % 2) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    nameless = spark.createDataFrame([(None, "a b", 1)], "doc_id long, text string, score int")
+    assert [r["held_out"] for f in (quality_digest, toxicity_digest) for r in f(nameless, labels.withColumn("text", F.lit("x"))).collect()] == [False, False]
     for f, parts, held in ((quality_digest, 3, 1), (toxicity_digest, 4, 2)):
         got = f(docs, labels).collect()
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % parts == held) for r in got)
@@ -458,6 +462,8 @@ def test_stages(spark, rows, tmp_path):
     made = [(r[0], r[1], r[2]) for r in rows]
     made += [(1000 + i, f"{t} vermin scum" if i % 3 == 0 else t, f"s{i % 4}") for i, t in enumerate(x for x in texts()[9:] for _ in range(2))]
     docs = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    # columns with names that stages may use
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("score", "kept", "_copies", "_id", "row", "id", "size", "n", "slot", "cls", "label", "node", "key", "a.b")})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels = spark.createDataFrame([(d, 1, int("vermin" in (t or ""))) for d, t, _ in made], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
