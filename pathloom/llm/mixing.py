@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, running
 
-#: A word: anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def words(text: str = "text"):
     """Number of words: the starts, i.e. non-space code points at the start or after a space."""
@@ -102,11 +99,12 @@ def mix_digest(docs: DataFrame, **params) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """Whole documents of the mix, columns as given: a row for each pass of which at least half is taken."""
-    sized = docs.withColumn("size", words())
-    mixed, _ = mix(sized.select("doc_id", "source", "size"), **params)
-    chosen = mixed.where(F.col("words") * 2 >= F.col("size")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_copies"))
-    chosen = chosen.join(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "_id")
+    """Whole documents of the mix, columns as given, whatever their names: a row for each pass of which at least half is taken."""
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"], docs["source"], words().alias("size"))
+    mixed, _ = mix(rows.select("doc_id", "source", "size"), **params)
+    chosen = mixed.where(F.col("words") * 2 >= F.col("size")).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
     # rows that share an id share its passes
-    out = docs.join(chosen, docs.doc_id.eqNullSafe(chosen._id)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int")))))
-    return out.select(*(docs[c] for c in docs.columns))
+    chosen = chosen.join(same, chosen.doc_id.eqNullSafe(same.doc_id)).select(chosen.doc_id.alias("id"), F.greatest(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int")).alias("times"))
+    out = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -127,11 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, limit
     """Fits on at most `limit` labelled documents outside the held-out fold."""
     small_batches(docs.sparkSession)
     chosen = sample(labels, "quality", parts, held, limit)
-    rows = sorted(tuple(r) for r in measured(docs.join(F.broadcast(chosen), "doc_id"), ["doc_id", "label"]).collect())  # at most `limit` rows
+    rows = sorted(tuple(r) for r in measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "label"]).collect())  # at most `limit` rows
     return fit_measures(np.array([r[2] for r in rows], np.float64).reshape(-1, MEASURES), np.array([r[1] for r in rows]))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out (false without an id), score, predicted for each row of docs."""
     model = fit(docs, labels)
 
     def run(batches):
@@ -141,4 +142,4 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

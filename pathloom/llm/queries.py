@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .urlrules import UNWANTED
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import host_path, judge, named_host
 
     listed = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-    rules = [host_path(*x) for x in listed] + [named_host(w) for w in ("spam", "pills", "casino")]
+    rules = [host_path(*x) for x in listed] + [named_host(w) for w in UNWANTED]
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -100,7 +101,7 @@ fits AS (
          row_number() OVER (PARTITION BY c.page_id, c.host, c.path ORDER BY length(r.rule) DESC, r.rule DESC) AS k
   FROM cut c JOIN rules r ON (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path))
 SELECT c.page_id, c.host, c.path, f.rule,
-       CASE WHEN f.rule IS NOT NULL THEN f.verdict WHEN regexp_matches(c.host, '(^|[.\-])(spam|pills|casino)[.\-]') THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN f.rule IS NOT NULL THEN f.verdict WHEN regexp_matches(c.host, '(^|[.\-])({unwanted})[.\-]') THEN 'block' ELSE 'allow' END AS verdict
 FROM cut c LEFT JOIN fits f ON c.page_id = f.page_id AND c.host = f.host AND c.path = f.path AND f.k = 1
 """
 
@@ -111,4 +112,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_quality": op3_quality, "op4_spotsigs": op4_spotsigs, "op5_ngram_join": op5_ngram_join, "op6_suffix_runs": op6_suffix_runs, "op7_toxicity": op7_toxicity, "op8_pack": op8_pack, "op9_url_rules": op9_url_rules, "op10_lm": op10_lm}
-SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL}
+SQL = {"op1_mix": OP1_SQL, "op9_url_rules": OP9_SQL.replace("{unwanted}", "|".join(UNWANTED))}

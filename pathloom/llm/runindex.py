@@ -1,11 +1,15 @@
 """A run-length compressed Burrows-Wheeler index of many short texts, for matches of a fixed length.
 
-The matrix rows are ordered by the first `depth` symbols, ties by place. Kept of it are the runs of the
-transform, a sample for each interval of rows with the same `depth` symbols (the owner of its first row, the
-smallest one, as texts are laid in order of owner), and the intervals for depth - 1. Texts are streamed
-against it from right to left: a step drops the last symbol of the match (the interval for depth - 1) and adds
-the one to the left by the rank of that symbol in the runs, so the matching statistics, cut at `depth`, come
-out place by place without the suffix array.
+The matrix rows are ordered by the first `depth` symbols, ties by place. Texts are laid in order of owner, so the
+first row of the rows that share `depth` symbols, an interval, is of their smallest owner. Kept are the runs of the
+transform, that owner for each interval, and where the intervals for depth - 1 begin. Texts are streamed against it
+from right to left: a step drops the last symbol of the match (the interval for depth - 1) and adds the one to the
+left by the rank of that symbol in the runs, so the matching statistics, cut at `depth`, come out place by place
+without the suffix array.
+
+Besides the runs two numbers are kept for each row: where its interval for depth - 1 begins, and the owner sampled
+for its interval. So a step looks up instead of searching, which halves the time, at 12 bytes a row; an index is of
+one gathering of contexts, whose rows are bounded, and isn't kept. What is compressed by runs is the transform.
 """
 
 from __future__ import annotations

@@ -333,43 +333,52 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with the keys of their texts, what is removed of distinct texts, and a narrow table of all rows."""
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_raw": F.coalesce("text", F.lit("")).cast("binary")})
-    rows = rows.withColumns({"_key": F.xxhash64("_raw"), "_n": F.octet_length("_raw").cast("long")})
-    narrow = rows.select("doc_id", "_id", "_key", F.md5("_raw").alias("_md5"), "_n", F.when(F.col("_n") < DEPTH, F.sha2("_raw", 256)).alias("_sha"))
-    first = narrow.groupBy("_md5").agg(F.min("_id").alias("_first"))
-    narrow = cut(narrow.join(first, "_md5").drop("_md5"))
-    copies = narrow.where("_id > _first").select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key")).distinct()
+    """Rows (id, raw text, key and size of it, and row, the columns of docs as one), a narrow table of all rows, and the rows whose text an earlier document has.
+
+    The first of equal texts is found by a minimum that is combined before the shuffle, and joined back by text and
+    a salt, so that a text that very many rows share is spread over tasks.
+    """
+    raw = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), raw.alias("raw"), F.xxhash64(raw).alias("key"), F.octet_length(raw).cast("long").alias("n"), F.struct("*").alias("row"))
+    short = F.when(F.col("n") < DEPTH, F.sha2("raw", 256)).alias("sha")
+    narrow = rows.select(F.col("row")["doc_id"].alias("doc_id"), "id", "key", F.md5("raw").alias("md5"), "n", short, F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    narrow = cut(narrow)
+    first = narrow.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("many"))
+    # texts that many rows share are few, so only they are sent once a salt
+    salts = F.when(F.col("many") > SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))).cast("array<long>")
+    spread = first.select("md5", "first", F.explode(salts).alias("salt"))
+    narrow = narrow.join(first.where(F.col("many") > SALTS).select("md5", F.lit(True).alias("hot")), "md5", "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(-1).cast("long")))
+    narrow = cut(narrow.join(spread, ["md5", "salt"]).drop("md5", "salt", "hot"))
+    copies = narrow.where("id > first").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key")).distinct()
     return rows, narrow, copies
 
 
 def removed(rows: DataFrame, copies: DataFrame, want: str) -> DataFrame:
-    done = repeats(rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_raw").alias("text")), copies, want=want)
-    return done.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
+    done = repeats(rows.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("raw").alias("text")), copies, want=want)
+    return done.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     rows, narrow, copies = keyed(docs.select("doc_id", "text"))
     done = removed(rows, copies, "digest")
-    out = narrow.join(done, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    copy = (F.col("_n") >= DEPTH) & (F.col("_id") > F.col("_first"))
+    out = narrow.join(done, (F.col("id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
+    copy = (F.col("n") >= DEPTH) & (F.col("id") > F.col("first"))
     return out.select(
-        "doc_id", F.col("_n").alias("n_bytes"), F.when(copy, F.col("_n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        "doc_id", F.col("n").alias("n_bytes"), F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "_sha")).alias("kept_sha256"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated bytes cut out of text, columns as given (n_chars, where it is there, follows the text)."""
+    """docs with repeated bytes cut out of text, columns as given, whatever their names (n_chars, where it is there, follows the text)."""
     rows, _, copies = keyed(docs)
-    done = removed(rows, copies, "text").where("n_removed > 0").select("_d", "_k", "kept")
-    whole = copies.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.lit(b"").alias("kept"))
-    out = rows.join(done.unionByName(whole), (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    cut_out = F.col("kept").isNotNull() & (F.col("_n") >= DEPTH)
-    out = out.withColumn("text", F.when(cut_out, F.col("kept").cast("string")).otherwise(F.col("text")))
+    done = removed(rows, copies, "text").where("n_removed > 0").select("d", "k", "kept")
+    whole = copies.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.lit(b"").alias("kept"))
+    out = rows.join(done.unionByName(whole), (F.col("id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
+    cut_out = F.col("kept").isNotNull() & (F.col("n") >= DEPTH)
+    new = F.col("row").withField("text", F.when(cut_out, F.col("kept").cast("string")).otherwise(F.col("row")["text"]))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(cut_out, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(docs.columns)
+        new = new.withField("n_chars", F.when(cut_out, F.length(F.col("kept").cast("string"))).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(new.alias("row")).select("row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, small_batches
 from .linear import fold, minimise, sample, sigmoid
@@ -199,31 +200,33 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, limit
     presence comes to the driver.
     """
     small_batches(docs.sparkSession)
-    drawn = docs.join(F.broadcast(sample(labels, "toxic", parts, held, limit)), "doc_id").select("text", "label")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample(labels, "toxic", parts, held, limit)), "doc_id").select("text", "label")
     chosen = with_terms(telling(cut(counted(drawn)), words, gain_least))
     rows = keyed(drawn, chosen).collect()  # at most `limit` rows of at most `words` keys and the terms
     return fit_words([(y, np.frombuffer(k, "<i8"), np.frombuffer(o, "<i8")) for y, k, o in sorted((r["label"], bytes(r["keys"]), bytes(r["own"])) for r in rows)], chosen)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score."""
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """row, the columns of docs as one, and score."""
     small_batches(docs.sparkSession)
     weights, bias = model.weights, model.bias
 
     def run(batches):
         for batch in batches:
-            z = [bias + sum(weights.get(k, 0.0) for k in word_keys(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigmoid(np.array(z, np.float64)))], [*batch.schema.names[:-1], "score"])
+            z = [bias + sum(weights.get(k, 0.0) for k in word_keys(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(np.array(z, np.float64)))], ["row", "score"])
 
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
-    return chosen.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double")
+    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    scored = score(docs, fit(docs, labels), ["doc_id"])
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """doc_id, held_out (false without an id), score, predicted for each row of docs."""
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels)).select("row.doc_id", "score")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs less those that score at least `threshold`, columns as given."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < threshold).drop("score")
+    """docs less those that score at least `threshold`, columns as given, whatever their names."""
+    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select("row.*")

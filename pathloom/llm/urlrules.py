@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+"
 
+#: Words that block a host of which they are a part, by subject; a parameter of the queries.
+UNWANTED = """
+ad ads adserver adservice banner click clicks popup track tracker tracking
+adult erotic escort hentai nude porn porno sex sexy xxx
+bet bets betting bingo casino gamble gambling jackpot lottery poker roulette slots
+botnet exploit hack hacked keygen malware phish phishing trojan virus warez crack cracked
+cialis drugs pharma pharmacy pill pills steroids viagra
+credit debt forex loan loans payday replica
+bulk farm linkfarm scam spam spammer
+""".split()
+
 
 @dataclass(frozen=True)
 class Rule:

@@ -244,6 +244,32 @@ def test_classifiers(spark, docs, rows, empty):
     assert gap[1] < gap[0] and key("gay") != key("straight") and IDENTITY_TERMS
 
 
+def test_held_out_accuracy(spark):
+    """What the queries learn holds on the fold that they don't learn from."""
+    from pathloom.llm.quality import quality_digest
+    from pathloom.llm.toxicity import toxicity_digest
+
+    rng = np.random.default_rng(12)
+    plain = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
+    rows, labels = [], []
+    for i in range(900):
+        good, toxic = i % 3 > 0, i % 4 == 0
+        words = [plain[j] for j in rng.integers(0, 200 if good else 6, int(rng.integers(30, 80)))]
+        if toxic:
+            words.insert(int(rng.integers(0, len(words))), str(rng.choice(["vermin", "scum", "filth"])))
+        rows.append((i, " ".join(words).capitalize() + "." if good else " | ".join(words).upper() + " !!!", "s", 1, "", 0.0))
+        labels.append((i, int(good), int(toxic)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for f, label, parts, held in ((quality_digest, "quality", 3, 1), (toxicity_digest, "toxic", 4, 2)):
+        truth = {r["doc_id"]: r[label] for r in labels.collect()}
+        # labels of the held-out fold are never read
+        spoilt = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == held, 1 - F.col(label)).otherwise(F.col(label)))
+        got = f(docs, labels).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, f(docs, spoilt).collect()))
+        out = [r["predicted"] == truth[r["doc_id"]] for r in got if r["held_out"]]
+        assert len(out) > 150 and sum(out) / len(out) > 0.97
+
+
 def test_counterfactuals(spark):
     from pathloom.llm.toxicity import IDENTITY_TERMS, counterfactuals, fit, fit_words, keys_of, own_keys, word_keys
 
