@@ -1,5 +1,11 @@
 """A corpus pipeline: toxic documents go, near copies go, repeated passages go, sources are mixed, and what is
-left is packed into sequences. Each stage takes (spark, docs, sf_dir) and works on all of docs."""
+left is packed into sequences. Each stage takes (spark, docs, sf_dir) and works on all of docs.
+
+Null and empty texts are kept by all stages but the mix, which takes only documents that give words, and are
+sequences of one token. Documents without an id aren't near copies of others, and come last among repeats. Rows that
+share an id and a text are one document to the near copies, which keep one row of an id. Columns besides doc_id,
+text and source pass through, whatever their names; n_chars follows a text that is cut. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
