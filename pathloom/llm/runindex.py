@@ -17,33 +17,48 @@ from __future__ import annotations
 import numpy as np
 
 
+def in_order(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by key, below `top`, ties by place; and where in that order the key changes."""
+    n = len(key)
+    bits = max(n.bit_length(), 1)
+    if top.bit_length() + bits <= 63:  # keys sort faster with their places in them than beside them
+        both = np.sort((key << bits) | np.arange(n))
+        rows, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        rows = np.argsort(key, kind="stable")
+        key = key[rows]
+    return rows, np.concatenate([[True], key[1:] != key[:-1]])[:n]
+
+
 def order_by(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by the first `depth` symbols, and where these, and the first depth - 1, change. t: symbols below 512, 0 after the end."""
     n = len(t)
 
-    def ranked(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].astype(np.int64)
-
-    def ahead(rank: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)  # past the end all is alike
-        out[: max(n - by, 0)] = rank[by:] + 1
+    def ranked(key: np.ndarray, top: int) -> np.ndarray:
+        rows, new = in_order(key, top)
+        out = np.empty(n, np.int64)
+        out[rows] = np.cumsum(new) - 1
         return out
 
+    def longer(rank: np.ndarray, by: int) -> np.ndarray:
+        key = rank * (n + 1)
+        key[: max(n - by, 0)] += rank[by:] + 1  # past the end all is alike
+        return ranked(key, (n + 1) ** 2)
+
     key = np.zeros(n, np.int64)
-    width = min(7, depth - 1)
+    width = min(4, depth - 1)
     for k in range(width):
         key <<= 9
         key[: max(n - k, 0)] |= t[k:]
-    rank = ranked(key)
-    while 2 * width <= depth - 1:
-        rank = ranked(rank * (n + 1) + ahead(rank, width))
-        width *= 2
-    shorter = rank if width == depth - 1 else ranked(rank * (n + 1) + ahead(rank, depth - 1 - width))
+    shorter = ranked(key, 1 << (9 * width))
+    while width < depth - 1:
+        by = min(width, depth - 1 - width)
+        shorter, width = longer(shorter, by), width + by
     full = shorter * 512
     full[: max(n - depth + 1, 0)] += t[depth - 1 :]
-    rows = np.argsort(full, kind="stable")
-    change = lambda x: np.concatenate([[True], x[rows][1:] != x[rows][:-1]])
-    return rows, change(full), change(shorter)
+    rows, change = in_order(full, 512 * (n + 1))
+    cut = shorter[rows]
+    return rows, change, np.concatenate([[True], cut[1:] != cut[:-1]])[:n]
 
 
 class RunIndex:
