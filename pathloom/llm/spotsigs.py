@@ -109,8 +109,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id, component_id: documents of equal fingerprints form a class, named by its smallest id; classes whose likeness reaches `threshold` link.
 
     Sets are partitioned by length: a set of n only meets sets of n to n / threshold. Within that, the sets
-    share one of their rarest signatures, the first n - ceil(threshold * n) + 1 of each; pairs so found are
-    counted once and compared. Documents without a word link with nothing but their equals.
+    share one of their rarest signatures, the first n - ceil(threshold * n) + 1 of each. The first class on the list
+    of such a signature is compared with the others; then those on a list that aren't of one component yet are
+    compared among themselves, so a list of copies of one text costs no more than its length. Pairs are compared
+    once. Documents without a content word link with nothing but their equals.
     """
     sets = docs.select("doc_id", signatures("text").alias("sigs"))
     classes = cut(sets.groupBy("sigs").agg(F.min("doc_id").alias("class_id")))
@@ -122,10 +124,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = post.join(common, "sig").where("df > 1 or n = 1").withColumn("place", place + 0)
     lone = post.join(common, "sig").where("df = 1").groupBy("class_id").agg(F.count("*").alias("lone"))
     first = first.join(lone, "class_id", "left").withColumn("place", F.col("place") + F.coalesce("lone", F.lit(0)))
-    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = first.select("sig", F.col("class_id").alias("a"), F.col("n").alias("na")), first.select("sig", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "sig").where("a <> b and (na < nb or na = nb and a < b)").where(F.col("nb") * threshold <= F.col("na")).select("a", "b").distinct()
-    pairs = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    links = pairs.where(likeness(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
-    found = components(links, "a", "b")
+    posts = cut(first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("sig", "class_id", "n"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
+        pairs = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
+        return pairs.where(likeness(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+
+    heads = posts.groupBy("sig").agg(F.min(F.struct("class_id", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
+    stars = posts.join(heads, "sig").select(F.col("head.class_id").alias("a"), F.col("head.n").alias("na"), F.col("class_id").alias("b"), F.col("n").alias("nb")).where("a <> b")
+    links = cut(linked(stars))
+    known = components(links, "a", "b")
+    labelled = cut(posts.join(known, F.col("class_id") == F.col("node"), "left").select("sig", "class_id", "n", F.coalesce("component", "class_id").alias("label")))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    some = labelled.join(mixed.select("sig"), "sig", "left_semi")
+    a, b = (some.select("sig", F.col("class_id").alias(x), F.col("n").alias("n" + x), F.col("label").alias("l" + x)) for x in "ab")
+    rest = a.join(b, "sig").where("a < b and la <> lb").select("a", "na", "b", "nb")
+    found = components(links.unionByName(linked(rest)), "a", "b")
     return member.join(found, F.col("class_id") == F.col("node"), "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
