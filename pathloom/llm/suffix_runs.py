@@ -31,6 +31,8 @@ DEPTH = 50
 GRAM = 18
 BLOCK_BYTES = 16 << 20
 CONTEXTS_A_BUCKET = 16_000
+#: Contexts that are indexed at once, about; those of one anchor stay together.
+CONTEXTS_A_PIECE = 4_000
 TOP = np.uint64(2**64 - 1)
 NO_ID = 2**63 - 1
 #: Rows of one text beyond which, and parts into which, they are spread.
@@ -122,6 +124,29 @@ def fresh(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, pa.Table]:
     return np.flatnonzero(once), right.filter(pa.array(fragment >= 0)) if right.num_rows else right
 
 
+def earlier(raw: np.ndarray, h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, starts: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """For each context, cut out of `raw`, which of its strings a smaller document has too, as bits; h: hashes of the contexts."""
+    order = np.lexsort((doc, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    lead = order[new]  # one of each equal context, of the smallest document
+    by = np.argsort(doc[lead], kind="stable")
+    lead = lead[by]
+    text_of = np.empty(len(lead), np.int64)
+    text_of[by] = np.arange(len(lead))
+    n = sizes[lead]
+    flat = raw[np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    index = RunIndex((flat, n), doc[lead], DEPTH)
+    least = index.smallest_owners()
+    begin = (index.ends - n)[text_of[group]]
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(2 * DEPTH - GRAM - DEPTH + 1):
+        has = np.flatnonzero(strings > k)
+        bits[has] |= (least[begin[has] + k] < doc[has]).astype(np.uint64) << np.uint64(k)
+    return bits
+
+
 def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES, want: str = "digest") -> DataFrame:
     """(doc_id, text_key) of texts of DEPTH bytes or more, each once, with n_removed, n_spans and kept (a digest or the bytes).
 
@@ -247,39 +272,39 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
         if rows.column("bucket")[0].as_py() >= 0:
             raw = np.frombuffer(b"".join(rows.column("raw").to_pylist()), np.uint8)
             starts = np.cumsum(sizes) - sizes
-            powers = kept("powers", Powers).reach(len(raw))
-            run = sums(raw, powers, byte_salt())
-            # strings in common hold half the bytes around the anchor, on one side; contexts that share neither go
             at = starts + np.frombuffer(b"".join(rows.column("anchors").to_pylist()), "u1")
+            ends = starts + sizes
             half = (DEPTH - GRAM) // 2
+            sides = ((at - half, at + GRAM), (at, at + GRAM + half))
+            kinds = (*sides, (at, at + GRAM), (starts, ends))
+            hashes = [np.zeros(len(at), np.uint64) for _ in kinds]
+            for lo, hi in steps(sizes.tolist()):  # sums over a bounded run of bytes
+                first, part = int(starts[lo]), raw[starts[lo] : ends[hi - 1]]
+                powers = kept("powers", Powers).reach(len(part))
+                run = sums(part, powers, byte_salt())
+                for out, (a, b) in zip(hashes, kinds):
+                    a, b = np.maximum(a[lo:hi] - first, 0), np.minimum(b[lo:hi] - first, len(part))
+                    out[lo:hi] = mix((run[b] - run[a]) * powers.down[a] + (b - a).astype(np.uint64))
+            # strings in common hold half the bytes around the anchor, on one side; contexts that share neither go
             alike = np.zeros(len(doc), bool)
-            for a, b in ((at - half, at + GRAM), (at, at + GRAM + half)):
-                whole = np.flatnonzero((a >= starts) & (b <= starts + sizes))
-                side = (run[b[whole]] - run[a[whole]]) * powers.down[a[whole]]
-                _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+            for side, (a, b) in zip(hashes, sides):
+                whole = np.flatnonzero((a >= starts) & (b <= ends))
+                _, inverse, count = np.unique(side[whole], return_inverse=True, return_counts=True)
                 alike[whole] |= count[inverse] > 1
             if not alike.any():
                 return pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], ["slot", "docs", "places", "bits"])
+            anchor, h = (x[alike] for x in hashes[2:])
             slot, doc, place, sizes, starts, strings = (x[alike] for x in (slot, doc, place, sizes, starts, strings))
-            h = mix((run[starts + sizes] - run[starts]) * powers.down[starts] + sizes.astype(np.uint64))
-            order = np.lexsort((doc, h))
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            group = np.empty(len(h), np.int64)
-            group[order] = np.cumsum(new) - 1
-            lead = order[new]  # one of each equal context, of the smallest document
-            by = np.argsort(doc[lead], kind="stable")
-            lead = lead[by]
-            text_of = np.empty(len(lead), np.int64)
-            text_of[by] = np.arange(len(lead))
-            n = sizes[lead]
-            flat = raw[np.repeat(starts[lead] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            index = RunIndex((flat, n), doc[lead], DEPTH)
-            least = index.smallest_owners()
-            begin = (index.ends - n)[text_of[group]]
+            del hashes, kinds, sides, at, ends
             bits = np.zeros(len(h), np.uint64)
-            for k in range(2 * DEPTH - GRAM - DEPTH + 1):
-                has = np.flatnonzero(strings > k)
-                bits[has] |= (least[begin[has] + k] < doc[has]).astype(np.uint64) << np.uint64(k)
+            # contexts of different anchors hold nothing in common, so they are indexed piece by piece
+            by_anchor = np.argsort(anchor, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(anchor[by_anchor]) > 0) + 1, len(h))
+            lo = 0
+            while lo < len(h):
+                hi = int(ends[max(np.searchsorted(ends, lo + CONTEXTS_A_PIECE, "right") - 1, np.searchsorted(ends, lo, "right"))])
+                piece, lo = by_anchor[lo:hi], hi
+                bits[piece] = earlier(raw, h[piece], doc[piece], sizes[piece], starts[piece], strings[piece])
         some = np.flatnonzero(bits)
         some = some[np.argsort(slot[some], kind="stable")]
         to, at = np.unique(slot[some], return_index=True)
