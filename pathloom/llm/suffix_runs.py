@@ -35,8 +35,6 @@ CONTEXTS_A_BUCKET = 16_000
 CONTEXTS_A_PIECE = 4_000
 TOP = np.uint64(2**64 - 1)
 NO_ID = 2**63 - 1
-#: Rows of one text beyond which, and parts into which, they are spread.
-SALTS = 64
 
 
 def spread_slots(docs: DataFrame, n: int) -> list[int]:
@@ -360,20 +358,15 @@ def repeats(docs: DataFrame, copies: DataFrame, block_bytes: int = BLOCK_BYTES,
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, raw text, key and size of it, and row, the columns of docs as one), a narrow table of all rows, and the rows whose text an earlier document has.
 
-    The first of equal texts is found by a minimum that is combined before the shuffle, and joined back by text and
-    a salt, so that a text that very many rows share is spread over tasks.
+    Rows are joined with the first of their equals by a digest, without their texts; the join of a text that very
+    many rows share is left to Spark to split.
     """
     raw = F.coalesce(docs["text"], F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), raw.alias("raw"), F.xxhash64(raw).alias("key"), F.octet_length(raw).cast("long").alias("n"), F.struct("*").alias("row"))
     short = F.when(F.col("n") < DEPTH, F.sha2("raw", 256)).alias("sha")
-    narrow = rows.select(F.col("row")["doc_id"].alias("doc_id"), "id", "key", F.md5("raw").alias("md5"), "n", short, F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    narrow = cut(narrow)
-    first = narrow.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("many"))
-    # texts that many rows share are few, so only they are sent once a salt
-    salts = F.when(F.col("many") > SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))).cast("array<long>")
-    spread = first.select("md5", "first", F.explode(salts).alias("salt"))
-    narrow = narrow.join(first.where(F.col("many") > SALTS).select("md5", F.lit(True).alias("hot")), "md5", "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(-1).cast("long")))
-    narrow = cut(narrow.join(spread, ["md5", "salt"]).drop("md5", "salt", "hot"))
+    narrow = rows.select(F.col("row")["doc_id"].alias("doc_id"), "id", "key", F.md5("raw").alias("md5"), "n", short)
+    first = narrow.groupBy("md5").agg(F.min("id").alias("first"))
+    narrow = cut(narrow.join(first, "md5").drop("md5"))
     copies = narrow.where("id > first").select(F.col("id").alias("doc_id"), F.col("key").alias("text_key")).distinct()
     return rows, narrow, copies
 
